@@ -22,12 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyspan.operators.design import SurveyDesign
-from surveyspan.operators.joins import keyed_join, quoted
+from surveyspan.operators.joins import keyed_join, quoted, unique_lookup
 from surveyspan.staging import stage
 
 NATIONAL = "national"
 _KEY = ["variable", "by_var", "domain"]
-_SUMS = ["sw", "swy", "swyy", "sy", "n_values"]
+_SUMS = ["sw", "swy", "sy", "n_values"]
 CONTRACT = ["avg", "se", "ci", "lb", "ub", "N", "unweighted_avg"]
 
 
@@ -42,6 +42,7 @@ def cluster_totals(
     by: Sequence[str] = (),
     attach: DataFrame | None = None,
     on: Sequence[str] = (),
+    squares: bool = False,
 ) -> DataFrame:
     """PSU totals per indicator and domain, the only step that reads ``df``.
 
@@ -53,6 +54,7 @@ def cluster_totals(
 
     ``attach`` is a dimension that supplies some of the domain columns, matched ``on``
     its unique key. It is joined to the reduced table, so the facts meet no join.
+    ``squares`` adds the weighted sum of squares that the design effect needs.
     """
     late = [b for b in by if attach is not None and b not in df.columns]
     early = [b for b in by if b not in late]
@@ -75,17 +77,19 @@ def cluster_totals(
         _required(design.weight, "weight").cast("double").alias("_w"),
         *[quoted(v).cast("double").alias(f"_y{j}") for j, v in enumerate(variables)],
     )
+    kept = [*_SUMS, "swyy"] if squares else _SUMS
     sums, columns = [], []
     for j in range(len(variables)):
         y = F.col(f"_y{j}")
         sums += [
             F.sum(F.when(y.isNotNull(), w)).alias(f"sw{j}"),
             F.sum(w * y).alias(f"swy{j}"),
-            F.sum(w * y * y).alias(f"swyy{j}"),
             F.sum(y).alias(f"sy{j}"),
             F.count(y).alias(f"n_values{j}"),
         ]
-        columns += [f"{s}{j}" for s in _SUMS]
+        if squares:
+            sums.append(F.sum(w * y * y).alias(f"swyy{j}"))
+        columns += [f"{s}{j}" for s in kept]
     groups = [c for c in facts.columns if c[:2] in ("_d", "_k")]
     finest = facts.groupBy(*groups, "stratum", "psu").agg(*sums, F.count("*").alias("n_rows"))
     if late:
@@ -93,7 +97,8 @@ def cluster_totals(
             *[quoted(k).alias(f"_k{i}") for i, k in enumerate(keys)],
             *[quoted(b).cast("string").alias(f"_d{by.index(b)}") for b in late],
         )
-        finest = keyed_join(finest, places, [f"_k{i}" for i in range(len(keys))], "left")
+        place_keys = [f"_k{i}" for i in range(len(keys))]
+        finest = keyed_join(finest, unique_lookup(places, place_keys), place_keys, "left")
 
     def member(name: str, value: Column) -> Column:
         return F.struct(F.lit(name).alias("by_var"), value.alias("domain"))
@@ -117,14 +122,14 @@ def cluster_totals(
         *[
             F.struct(
                 F.lit(v).alias("variable"),
-                *[F.coalesce(F.col(f"{s}{j}"), F.lit(0)).alias(s) for s in _SUMS],
+                *[F.coalesce(F.col(f"{s}{j}"), F.lit(0)).alias(s) for s in kept],
             )
             for j, v in enumerate(variables)
         ]
     )
     return rolled.select(
         F.explode(indicators).alias("i"), "by_var", "domain", "stratum", "psu", "n_rows"
-    ).select("i.variable", "by_var", "domain", "stratum", "psu", *[f"i.{s}" for s in _SUMS], "n_rows")
+    ).select("i.variable", "by_var", "domain", "stratum", "psu", *[f"i.{s}" for s in kept], "n_rows")
 
 
 def stratum_sizes(totals: DataFrame) -> DataFrame:
@@ -173,22 +178,23 @@ def estimates(
     """
     sizes = stratum_sizes(totals) if sizes is None else sizes
     complete = F.lit(True) if omit_null else F.col("n_values") == F.col("n_rows")
+    summed_up = [*_SUMS, "n_rows", *(["swyy"] if deff else [])]
     domains = (
         totals.groupBy(*_KEY)
-        .agg(*[F.sum(c).alias(c) for c in [*_SUMS, "n_rows"]])
+        .agg(*[F.sum(c).alias(c) for c in summed_up])
         .select(
             F.col("variable").alias("_v"),
             F.col("by_var").alias("_b"),
             F.col("domain").alias("_d"),
             F.col("sw").alias("total_w"),
             F.when(complete, F.try_divide("swy", "sw")).alias("avg"),
-            F.col("swyy").alias("total_wyy"),
-            F.col("n_values").alias("n_used"),
+            *([F.col("swyy").alias("total_wyy"), F.col("n_values").alias("n_used")] if deff else []),
             (F.col("n_values") if omit_null else F.col("n_rows")).alias("N"),
             F.when(complete, F.try_divide("sy", "n_values")).alias("unweighted_avg"),
         )
     )
-    payload = ["total_w", "avg", "total_wyy", "n_used", "N", "unweighted_avg"]
+    extra = ["total_w", "total_wyy", "n_used"] if deff else []
+    payload = ["avg", "N", "unweighted_avg", *extra]
     same_domain = (
         (F.col("variable") == F.col("_v"))
         & (F.col("by_var") == F.col("_b"))
@@ -219,9 +225,7 @@ def estimates(
         F.when(known & F.col("avg").isNotNull(), F.sqrt(F.greatest(F.col("v"), F.lit(0.0)))).alias("se"),
         "N",
         "unweighted_avg",
-        "total_w",
-        "total_wyy",
-        "n_used",
+        *extra,
     )
     ci = F.col("se") * F.lit(float(ci_factor))
     result = with_se.withColumns(
@@ -256,7 +260,7 @@ def estimate_many(
     ``population`` is the table the design was declared on, when ``df`` is a
     subset of it (domain estimation). Left out, the design is ``df`` itself.
     """
-    totals = stage(cluster_totals(df, design, variables, by, attach, on))
+    totals = stage(cluster_totals(df, design, variables, by, attach, on, squares=deff))
     sizes = None if population is None else population_sizes(population, design)
     return estimates(
         totals, design, sizes=sizes, omit_null=omit_null, ci_factor=ci_factor, deff=deff

@@ -66,8 +66,8 @@ def child_table(raw: DataFrame, region_labels: DataFrame, map_spelling: bool = F
             "sev_stunted": below(F.col("stunting_score"), SEVERELY_STUNTED_BELOW),
         }
     )
-    named = lookup(flagged, "region", region_labels, into="region_name")
-    return named.withColumn("region_name", title_case(F.col("region_name"))) if map_spelling else named
+    labels = region_labels.withColumn("label", title_case(F.col("label"))) if map_spelling else region_labels
+    return lookup(flagged, "region", labels, into="region_name")
 
 
 def stunting_summary(children: DataFrame, by: str) -> DataFrame:

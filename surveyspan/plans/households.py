@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyspan.functions import case_when, glue, implied_decimals, is_in, na_if, respell, title_case, top_code
-from surveyspan.operators.joins import keyed_join, lookup, quoted
+from surveyspan.operators.joins import keyed_join, lookup, quoted, unique_lookup
 from surveyspan.staging import broadcast_if_small
 
 # Raw survey variables behind the household columns.
@@ -124,10 +124,11 @@ def household_table(
         cleaned = cleaned.withColumn(
             "num_share_toilet", top_code(F.col("num_share_toilet"), TOP_CODE, TOP_CODE_VALUE)
         )
-    decoded = lookup(cleaned, "region", region_labels, into="region_name")
+    # Spelling is fixed once per label, not once per household.
+    spelled = region_labels.withColumn("label", spelled_region(F.col("label"), rules.spellings))
+    decoded = lookup(cleaned, "region", spelled, into="region_name")
     decoded = lookup(decoded, "dhs_region", dhs_labels)
-    named = decoded.withColumn("region_name", spelled_region(F.col("region_name"), rules.spellings))
-    named = named.withColumn("region_urban", region_urban(F.col("region_name"), F.col("urban")))
+    named = decoded.withColumn("region_urban", region_urban(F.col("region_name"), F.col("urban")))
     if geo is None:
         return named
-    return keyed_join(named, broadcast_if_small(geo), GEO_KEYS, "left")
+    return keyed_join(named, broadcast_if_small(unique_lookup(geo, GEO_KEYS)), GEO_KEYS, "left")
