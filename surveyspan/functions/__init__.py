@@ -1,5 +1,6 @@
 from surveyspan.functions.nulls import (
     case_when,
+    code_class,
     if_else,
     ifelse,
     is_in,
@@ -29,6 +30,7 @@ from surveyspan.functions.text import (
 __all__ = [
     "accent_key",
     "case_when",
+    "code_class",
     "glue",
     "if_else",
     "ifelse",

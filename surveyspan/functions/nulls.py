@@ -47,7 +47,7 @@ def case_when(*branches: tuple[Column, object], default=None) -> Column:
 
 def na_if(column: Column, *sentinels) -> Column:
     """NULL where the column holds one of the sentinel codes."""
-    return F.when(~is_in(column, sentinels), column)
+    return F.when(column.isin(*sentinels), None).otherwise(column)
 
 
 def is_in(column: Column, codes: Iterable) -> Column:
@@ -61,10 +61,32 @@ def replace_where(column: Column, value, condition: Column) -> Column:
 
 
 def recode_sets(column: Column, sets: Mapping[object, Iterable], other=None) -> Column:
-    """Map sets of codes to new values: ``{new_value: [codes]}``."""
-    return case_when(*[(is_in(column, codes), new) for new, codes in sets.items()], default=other)
+    """Map sets of codes to new values: ``{new_value: [codes]}``.
+
+    A missing value makes every ``IN`` NULL, which a CASE branch treats as no match.
+    """
+    return case_when(*[(column.isin(*codes), new) for new, codes in sets.items()], default=other)
 
 
 def top_code(column: Column, code, value) -> Column:
     """Replace a top-coded entry such as 95 by the value it stands for."""
     return replace_where(column, value, column == F.lit(code))
+
+
+def code_class(column: Column, sets: Mapping[int, Iterable[int]], largest: int = 4095) -> Column:
+    """Class number of an integer code: ``{class: [codes]}``, NULL for any other code.
+
+    Survey codes are small, so the lists become one array literal that is read by
+    position. Compared with a chain of ``IN`` lists this keeps the generated method
+    short; above 8,000 bytes the JVM no longer compiles it and a scan slows down
+    several times. Larger or negative codes fall back to the ``IN`` lists.
+    """
+    classes: dict[int, int] = {}
+    for number, codes in sets.items():
+        for code in codes:
+            classes.setdefault(int(code), number)
+    if not classes or min(classes) < 0 or max(classes) > largest:
+        return recode_sets(column, sets)
+    slots = ", ".join(str(classes.get(code, "NULL")) for code in range(max(classes) + 1))
+    index = column.try_cast("int")
+    return F.get(F.expr(f"array({slots})"), index)

@@ -38,22 +38,29 @@ def share_in_group(df: DataFrame, group: str, var: str, keep=1) -> DataFrame:
 
 def group_means(df: DataFrame, by: str, columns: Sequence[str], present: str) -> DataFrame:
     """Plain means and the row count per group, over rows where ``present`` is known."""
+    known = quoted(present).isNotNull()
     return (
-        df.filter(quoted(present).isNotNull())
-        .groupBy(quoted(by))
-        .agg(*[F.avg(quoted(c)).alias(f"mean_{c}") for c in columns], F.count("*").alias("n"))
+        df.groupBy(quoted(by))
+        .agg(
+            *[F.avg(F.when(known, quoted(c))).alias(f"mean_{c}") for c in columns],
+            F.count(F.when(known, 1)).alias("n"),
+        )
+        .filter(F.col("n") > 0)
     )
 
 
 def domain_counts(
     df: DataFrame, var: str, by: str, total_name: str = "positive", rows_name: str = "total"
 ) -> DataFrame:
-    """Sum of a 0/1 indicator and number of rows per domain, missing values removed first."""
-    return (
-        df.filter(quoted(var).isNotNull())
-        .groupBy(quoted(by))
-        .agg(F.sum(quoted(var)).alias(total_name), F.count("*").alias(rows_name))
+    """Sum of a 0/1 indicator and number of rows per domain, missing values removed.
+
+    They are left out by the aggregates, and domains without any value afterwards: a
+    filter before would push the whole recode of the indicator down into the scan.
+    """
+    counted = df.groupBy(quoted(by)).agg(
+        F.sum(quoted(var)).alias(total_name), F.count(quoted(var)).alias(rows_name)
     )
+    return counted.filter(quoted(rows_name) > 0)
 
 
 def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence) -> DataFrame:

@@ -81,7 +81,7 @@ def urban_flag(code: Column) -> Column:
 
 
 def minutes_to_water(code: Column) -> Column:
-    return F.when(~is_in(code, TIME_MISSING), F.when(code == TIME_ON_PREMISES, 0).otherwise(code))
+    return F.when(code.isin(*TIME_MISSING), None).when(code == TIME_ON_PREMISES, 0).otherwise(code)
 
 
 def spelled_region(label: Column, spellings: Mapping[str, str]) -> Column:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from surveyspan.functions import case_when, is_in, recode_sets
+from surveyspan.functions import case_when, code_class
 from surveyspan.operators.joins import quoted
 
 # Toilet codes, labels and classes.
@@ -47,15 +46,9 @@ class ToiletClasses:
         """From ``read_code_classes`` over a classification table."""
         return cls(classes["Improved"], classes["Unimproved"], classes["open defecation"])
 
-    def type_of(self, source: Column) -> Column:
-        return recode_sets(
-            source,
-            {
-                "improved": self.improved,
-                "unimproved": self.unimproved,
-                "open defecation": self.open_defecation,
-            },
-        )
+    def class_of(self, source: Column) -> Column:
+        """1 improved, 2 unimproved, 3 open defecation."""
+        return code_class(source, {1: self.improved, 2: self.unimproved, 3: self.open_defecation})
 
 
 def sanitation_indicators(
@@ -73,22 +66,24 @@ def sanitation_indicators(
     classes = classes or ToiletClasses()
     if rules not in ("primary", "alternate"):
         raise ValueError("rules must be 'primary' or 'alternate'")
-    kind, share = classes.type_of(quoted(source)), quoted(shared)
-    typed = hh.withColumn("toilet_type", kind)
-    t = F.col("toilet_type")
-    private = (t == "improved") & (share == 0)
-    communal = (t == "improved") & (share == 1)
-    poor = is_in(t, ["unimproved", "open defecation"])
+    # All three columns test the class of the code. Building them on one another would
+    # repeat the nested expression in every branch once the optimizer inlines it.
+    cls, share = classes.class_of(quoted(source)), quoted(shared)
+    private, communal = (cls == 1) & (share == 0), (cls == 1) & (share == 1)
     flag = (
-        case_when((private, 1), (communal | poor, 0))
+        case_when((private, 1), (communal | (cls > 1), 0))
         if rules == "primary"
         else case_when((private, 1), default=0)
     )
-    return typed.withColumns(
+    return hh.withColumns(
         {
+            "toilet_type": case_when((cls == 1, "improved"), (cls == 2, "unimproved"), (cls == 3, "open defecation")),
             "improved_toilet": flag,
             "impr_toilet_type": case_when(
-                (private, "improved-unshared"), (communal, "improved-shared"), (poor, t)
+                (private, "improved-unshared"),
+                (communal, "improved-shared"),
+                (cls == 2, "unimproved"),
+                (cls == 3, "open defecation"),
             ),
         }
     )

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyspan.functions import ifelse, recode_sets
+from surveyspan.functions import case_when, code_class
 from surveyspan.operators.joins import quoted
 
 # Water codes, labels and classes.
@@ -61,6 +61,11 @@ class WaterClasses:
     def improved_with_bottled(self) -> tuple:
         return self.improved + self.bottled
 
+    def class_of(self, source: Column) -> Column:
+        """1 improved, 2 unimproved, 3 bottled and unimproved, 4 bottled only."""
+        listed = tuple(c for c in self.bottled if c in self.unimproved)
+        return code_class(source, {1: self.improved, 2: self.unimproved_piped, 3: listed, 4: self.bottled})
+
 
 def water_indicators(
     hh: DataFrame,
@@ -77,27 +82,22 @@ def water_indicators(
     classes = classes or WaterClasses()
     if rules not in ("primary", "alternate"):
         raise ValueError("rules must be 'primary' or 'alternate'")
-    src = quoted(source)
-
-    def flag(yes: tuple, no: tuple):
-        if rules == "alternate":
-            return ifelse(src.isin(*yes), 1, 0)
-        return recode_sets(src, {1: yes, 0: no})
-
-    classed = hh.withColumns(
+    src, time = quoted(source), quoted(minutes)
+    cls = classes.class_of(src)
+    if rules == "primary":
+        improved = case_when((cls == 1, 1), (cls < 4, 0))
+        with_bottled = case_when((cls == 2, 0), (cls.isNotNull(), 1))
+        known = cls < 4
+    else:
+        known = src.isNotNull()
+        improved = F.when(known, F.when(cls == 1, 1).otherwise(0))
+        with_bottled = F.when(known, F.when((cls == 1) | (cls > 2), 1).otherwise(0))
+    near = (time <= NEAR_MINUTES) & (cls == 1)
+    return hh.withColumns(
         {
-            "improved_water": flag(classes.improved, classes.unimproved),
-            "impr_water_dhs": flag(classes.improved_with_bottled, classes.unimproved_piped),
-            "impr_water_type": recode_sets(
-                src,
-                {
-                    "improved": classes.improved,
-                    "unimproved": classes.unimproved_piped,
-                    "bottled": classes.bottled,
-                },
-            ),
+            "improved_water": improved,
+            "impr_water_under30min": F.when(known & time.isNotNull(), F.when(near, 1).otherwise(0)),
+            "impr_water_dhs": with_bottled,
+            "impr_water_type": case_when((cls == 1, "improved"), (cls == 2, "unimproved"), (cls > 2, "bottled")),
         }
     )
-    known = quoted(minutes).isNotNull() & F.col("improved_water").isNotNull()
-    near = (quoted(minutes) <= NEAR_MINUTES) & (F.col("improved_water") == 1)
-    return classed.withColumn("impr_water_under30min", F.when(known, F.when(near, 1).otherwise(0)))
