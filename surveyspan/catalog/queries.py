@@ -19,7 +19,7 @@ from surveyspan.operators.design import SurveyDesign, design_summary
 from surveyspan.operators.estimate import estimate_many, point_estimate
 from surveyspan.operators.joins import keyed_join, lookup, place_lookup, quoted
 from surveyspan.operators.reshape import codes_with, codes_without
-from surveyspan.plans import audit, child, cholera, geography, sanitation, tables, water
+from surveyspan.plans import audit, child, cholera, geography, report, sanitation, tables, water
 from surveyspan.plans.households import GEO_KEYS, HouseholdRules
 from surveyspan.sources import polygons
 from surveyspan.sources.codebook import codebook_table, decode_labels, value_labels
@@ -461,6 +461,20 @@ def compare_indicators(spark, sf):
     return rounded(tables.compare_indicators(first, second, "region_name", "improved latrines", "improved water"))
 
 
+@register(
+    "household_report",
+    f"WITH {sql.indicators()} "
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, {sql.contract('domain')} FROM "
+        + sql.estimate("ind", var, by and f"CAST({by} AS VARCHAR)")
+        for name, (var, by) in report.ESTIMATES.items()
+    ),
+)
+def household_report(spark, sf):
+    """Every estimate table of the household analysis, stacked."""
+    return rounded(report.household_estimates(sv.indicators(spark, sf), sv.DESIGN, sv.geography(spark, sf)))
+
+
 _ALTERNATE = sql.indicators(alternate=True)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from surveyspan.functions import percent
 from surveyspan.operators.joins import quoted
+from surveyspan.sources.codebook import bounded_rows
 
 
 def group_count(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -63,12 +64,16 @@ def domain_counts(
     return counted.filter(quoted(rows_name) > 0)
 
 
-def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence) -> DataFrame:
+def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence | None = None) -> DataFrame:
     """Counts by two columns, wide; NULL stays a real row key.
 
-    ``values`` lists the column values to spread (``None`` for missing), which
-    spares the extra pass Spark needs to discover them.
+    ``values`` lists the column values to spread (``None`` for missing). Left out,
+    they are looked up first, in a pass of its own that fails beyond 1,000 values.
     """
+    if values is None:
+        found = bounded_rows(df.select(quoted(columns)).distinct(), 1_000, f"column {columns}")
+        values = sorted((r[0] for r in found), key=lambda v: (v is None, v))
+
     def name(v) -> str:
         return "missing" if v is None else str(v)
 

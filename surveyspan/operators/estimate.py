@@ -51,6 +51,8 @@ def cluster_totals(
     value are kept (with empty sums), because n_h counts every PSU. The first
     aggregation groups by all domain columns together: geographies nest, so it
     leaves about one row per PSU, and the domain roll-up multiplies only those.
+    (Domain columns that cut across PSUs reduce less; ask for such families in
+    separate calls.)
 
     ``attach`` is a dimension that supplies some of the domain columns, matched ``on``
     its unique key. It is joined to the reduced table, so the facts meet no join.

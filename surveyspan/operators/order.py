@@ -58,3 +58,17 @@ def level_order(levels: DataFrame, level: str, order: Sequence[Column], into: st
 def with_level_order(df: DataFrame, ordinals: DataFrame, level: str) -> DataFrame:
     """Attach the ordinal of an ordered category; values that are no level get NULL."""
     return keyed_join(df, ordinals, level, "left")
+
+
+def exact_median(df: DataFrame, value: str, ties: Sequence[Column], into: str = "median") -> DataFrame:
+    """One row with the exact median of the known values, NULL when there is none.
+
+    Spark's ``median`` gathers every distinct value in one task; here the values
+    are ranked by :func:`row_numbers` and only the middle ones are averaged.
+    ``ties`` are columns that tell rows with equal values apart.
+    """
+    known = df.filter(quoted(value).isNotNull())
+    ranked = row_numbers(known, [quoted(value).asc(), *ties], "_rank")
+    size = ranked.agg(F.count("*")).scalar()
+    middle = (F.col("_rank") == F.floor((size + 1) / 2)) | (F.col("_rank") == F.ceil((size + 1) / 2))
+    return ranked.filter(middle).agg(F.avg(quoted(value)).alias(into))

@@ -85,8 +85,11 @@ def stunting_estimates(
 ) -> DataFrame:
     """Stunting rate with standard error and design effect.
 
-    ``subset_design`` declares the design on the measured children alone; switched
-    off, the PSU counts come from all children (domain estimation).
+    ``subset_design`` declares the design on the measured children alone. Switched
+    off, the PSU counts come from all children (domain estimation): the children
+    without a measurement then stay in, with no value, so one scan serves both.
     """
-    population = None if subset_design else children
-    return point_estimate(measured(children), design, "stunted", by, population=population, deff=deff)
+    if subset_design:
+        return point_estimate(measured(children), design, "stunted", by, deff=deff)
+    counted = children.withColumn("stunted", F.when(F.col("stunting_eligible"), F.col("stunted")))
+    return point_estimate(counted, design, "stunted", by, deff=deff).filter(F.col("N") > 0)

@@ -10,7 +10,7 @@ from surveyspan.functions import percent, split_pair
 from surveyspan.operators.design import SurveyDesign
 from surveyspan.operators.estimate import domain_table, estimate_many
 from surveyspan.operators.joins import keyed_join, quoted, unique_lookup, with_scalar
-from surveyspan.operators.order import level_order, with_level_order
+from surveyspan.operators.order import exact_median, level_order, with_level_order
 from surveyspan.operators.reshape import long_form
 
 
@@ -67,12 +67,19 @@ def urban_rural_gap(
     regions that have an urban part by their overall mean.
     """
     many = estimate_many(df, design, [var], [region_urban, region], **options)
-    split = domain_table(many, var, region_urban).select(
+    return gap_table(domain_table(many, var, region_urban), domain_table(many, var, region), region_urban, region, separator)
+
+
+def gap_table(
+    split_estimates: DataFrame, region_estimates: DataFrame, region_urban: str, region: str, separator: str = "_and_"
+) -> DataFrame:
+    """:func:`urban_rural_gap` from the two estimate tables."""
+    split = split_estimates.select(
         *split_pair(quoted(region_urban), separator, "region", "urban"), "*"
     ).drop(region_urban)
     inside = Window.partitionBy("region").orderBy(F.col("urban").asc_nulls_last())
     paired = split.withColumn("lagged", F.lag("avg").over(inside))
-    means = domain_table(many, var, region).select(quoted(region).alias("region"), F.col("avg").alias("region_avg"))
+    means = region_estimates.select(quoted(region).alias("region"), F.col("avg").alias("region_avg"))
     joined = keyed_join(paired, means, "region", "left")
     urban_rows = joined.filter(F.col("urban") == "urban").select("region", "region_avg")
     order = level_order(urban_rows, "region", [F.col("region_avg").asc_nulls_last()], "region_order")
@@ -92,7 +99,7 @@ def compare_indicators(
     b = second.select(quoted(key), F.col("avg").alias(second_name))
     wide = keyed_join(a, b, key, "full")
     longer = long_form(wide, [key], [first_name, second_name])
-    middle = longer.agg(F.median("value").alias("middle"))
+    middle = exact_median(longer, "value", [quoted(key).asc(), F.col("indicator").asc()], "middle")
     banded = (
         with_scalar(longer, middle, "middle", "middle")
         .withColumn(

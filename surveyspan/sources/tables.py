@@ -34,9 +34,20 @@ SECONDARY_CITIES = [
 ]
 
 
-def read_microdata(spark: SparkSession, path: str, codebook: str | None = None, fmt: str = "parquet", **options) -> DataFrame:
-    """Coded survey rows, NaN read as NULL, labels attached from a codebook file."""
-    df = nan_to_null(spark.read.format(fmt).options(**options).load(path))
+def read_microdata(
+    spark: SparkSession,
+    path: str,
+    codebook: str | None = None,
+    fmt: str = "parquet",
+    schema: str | T.StructType | None = None,
+    **options,
+) -> DataFrame:
+    """Coded survey rows, NaN read as NULL, labels attached from a codebook file.
+
+    Give a ``schema`` for text formats: inferring one reads the whole input first.
+    """
+    reader = spark.read.format(fmt).options(**options)
+    df = nan_to_null((reader if schema is None else reader.schema(schema)).load(path))
     if codebook is None:
         return df
     return attach_codebook(df, read_codebook(spark.read.parquet(codebook)))

@@ -20,3 +20,17 @@ def test_entry(spark):
 def test_query_agrees_with_sql(spark, duck, sf_dir, name):
     assert name in entry_module.oracle_sql()
     assert compare(spark, duck, sf_dir, name) == []
+
+
+def test_full_report(spark, sf_dir):
+    from surveyspan.catalog import surrogate as sv
+    from surveyspan.catalog.queries import _nation_names
+    from surveyspan.plans.report import ESTIMATES, household_report
+
+    hh, geo = sv.indicators(spark, sf_dir), sv.geography(spark, sf_dir)
+    tables = household_report(hh, sv.DESIGN, geo, _nation_names(spark, sf_dir))
+    assert set(tables) == {*ESTIMATES, "toilet_districts", "water_districts", "toilet_gap", "water_gap", "comparison"}
+    national = tables["toilet_national"].first()["avg"]
+    assert {r["national_avg"] for r in tables["toilet_admin3"].collect()} == {national}
+    assert tables["toilet_districts"].columns[:2] == ["admin1", "admin2"]
+    assert tables["water_gap"].filter("urban = 'urban'").count() > 0
