@@ -1,17 +1,26 @@
 """Design-weighted means with linearised standard errors, for many domains at once.
 
-For domain d with rows i that have a value, ``avg = sum(w*y) / sum(w)`` and PSU c of
-stratum h contributes ``z = (sum_c(w*y) - avg * sum_c(w)) / sum(w)``. The variance is
+For domain d with rows i that have a value, ``avg = sum(w*y) / sum(w) = A/W`` and PSU c of
+stratum h contributes ``z = (A_c - avg * W_c) / W``. The variance is
 ``sum_h n_h/(n_h-1) * (sum z^2 - (sum z)^2 / n_h)``, n_h being the number of PSUs of the
 stratum in the whole design. PSUs without rows in the domain have z = 0, so they
 need no rows of their own. (Binder 1983; Lumley 2004, J. Stat. Softw. 9(8).)
 
+With residuals ``e_c = A_c - r*W_c`` around the overall mean r and ``t = avg - r``, z is
+``(e_c - t*W_c) / W``, so the variance is the quadratic ``(q0 - 2*t*q1 + t^2*q2) / W^2``
+whose coefficients add up over strata. avg is only needed at the very end, and
+the PSU totals never have to be joined to their domain's mean. Starting from
+residuals rather than from A_c keeps the three terms small, so little is lost
+when they are subtracted.
+
 Shape of the work:
 
 1. one pass over the facts to PSU totals at the finest grouping (map-side combined);
 2. roll-up of that reduced table to every requested domain column, then staged;
-3. domain totals, stratum sizes, deviations and variances from the staged rows, by
-   hash aggregation only. No window, so no domain or stratum sits in one task.
+3. sums per domain and stratum, n_h beside them, sums per domain.
+
+Steps 1 and 3 are hash aggregations with partial sums and there is no window and no
+join on the domain, so a domain or stratum that holds most rows sits in no single task.
 """
 
 from __future__ import annotations
@@ -148,20 +157,30 @@ def population_sizes(population: DataFrame, design: SurveyDesign) -> DataFrame:
     return frame.distinct().groupBy("stratum").agg(F.count("psu").alias("n_psu"))
 
 
-def _stratum_variance(lonely_psu: str) -> Column:
-    n, sz, szz = F.col("n_psu"), F.col("sz"), F.col("szz")
-    spread = n / F.nullif(n - 1, F.lit(0)) * (szz - sz * sz / n)
-    lonely = {
-        "fail": F.raise_error(
-            F.concat(F.lit("only one PSU in stratum "), F.col("stratum").cast("string"))
-        ).cast("double"),
-        "remove": F.lit(0.0),
-        "adjust": szz,
-    }[lonely_psu]
-    unknown = F.raise_error(
-        F.concat(F.lit("stratum absent from the design: "), F.col("stratum").cast("string"))
-    ).cast("double")
-    return F.when(n.isNull(), unknown).when(n == 1, lonely).otherwise(spread)
+def _quadratic(lonely_psu: str) -> dict[str, Column]:
+    """Coefficients of the variance in t, per domain and stratum."""
+    n = F.col("n_psu")
+    ee, ew, ww, e, w = (F.col(c) for c in ("ee", "ew", "ww", "e", "sw"))
+    lonely_keeps = F.lit(1.0 if lonely_psu == "adjust" else 0.0)
+    if lonely_psu == "fail":
+        message = F.concat(F.lit("only one PSU in stratum "), F.col("stratum").cast("string"))
+        lonely_keeps = F.raise_error(message).cast("double")
+    message = F.concat(F.lit("stratum absent from the design: "), F.col("stratum").cast("string"))
+    unknown = F.raise_error(message).cast("double")
+    factor = n / F.nullif(n - 1, F.lit(0))
+
+    def coefficient(squares: Column, product: Column) -> Column:
+        return (
+            F.when(n.isNull(), unknown)
+            .when(n == 1, squares * lonely_keeps)
+            .otherwise(factor * (squares - product / n))
+        )
+
+    return {"q0": coefficient(ee, e * e), "q1": coefficient(ew, e * w), "q2": coefficient(ww, w * w)}
+
+
+# A variance below this share of the terms it is the difference of is rounding noise.
+_NOISE = 1e-12
 
 
 def estimates(
@@ -179,67 +198,54 @@ def estimates(
     With ``omit_null=False`` one missing value makes the whole domain missing.
     """
     sizes = stratum_sizes(totals) if sizes is None else sizes
-    complete = F.lit(True) if omit_null else F.col("n_values") == F.col("n_rows")
-    summed_up = [*_SUMS, "n_rows", *(["swyy"] if deff else [])]
-    domains = (
-        totals.groupBy(*_KEY)
-        .agg(*[F.sum(c).alias(c) for c in summed_up])
-        .select(
-            F.col("variable").alias("_v"),
-            F.col("by_var").alias("_b"),
-            F.col("domain").alias("_d"),
-            F.col("sw").alias("total_w"),
-            F.when(complete, F.try_divide("swy", "sw")).alias("avg"),
-            *([F.col("swyy").alias("total_wyy"), F.col("n_values").alias("n_used")] if deff else []),
-            (F.col("n_values") if omit_null else F.col("n_rows")).alias("N"),
-            F.when(complete, F.try_divide("sy", "n_values")).alias("unweighted_avg"),
-        )
-    )
-    extra = ["total_w", "total_wyy", "n_used"] if deff else []
-    payload = ["avg", "N", "unweighted_avg", *extra]
-    same_domain = (
-        (F.col("variable") == F.col("_v"))
-        & (F.col("by_var") == F.col("_b"))
-        & F.col("domain").eqNullSafe(F.col("_d"))
-    )
-    z = F.try_divide(F.col("swy") - F.col("avg") * F.col("sw"), F.col("total_w"))
+    whole = totals.filter(F.col("by_var") == NATIONAL).groupBy(F.col("variable").alias("_v"))
+    overall = whole.agg(F.coalesce(F.try_divide(F.sum("swy"), F.sum("sw")), F.lit(0.0)).alias("r"))
+    kept = [*_SUMS, "n_rows", *(["swyy"] if deff else [])]
+
+    # `overall` has one row per indicator the caller listed.
+    residual = F.col("swy") - F.col("r") * F.col("sw")
     per_stratum = (
-        totals.join(domains, same_domain)
-        .withColumn("z", z)
+        totals.join(F.broadcast(overall), F.col("variable") == F.col("_v"))
+        .withColumn("e", residual)
         .groupBy(*_KEY, "stratum")
         .agg(
-            F.sum("z").alias("sz"),
-            F.sum(F.col("z") * F.col("z")).alias("szz"),
-            *[F.any_value(c).alias(c) for c in payload],
+            F.sum("e").alias("e"),
+            F.sum(F.expr("e * e")).alias("ee"),
+            F.sum(F.expr("e * sw")).alias("ew"),
+            F.sum(F.expr("sw * sw")).alias("ww"),
+            F.any_value("r").alias("r"),
+            *[F.sum(c).alias(c) for c in kept],
         )
     )
     sized = per_stratum.join(sizes.withColumnRenamed("stratum", "_h"), F.col("stratum") == F.col("_h"), "left")
     summed = (
-        sized.withColumn("v", _stratum_variance(design.lonely_psu))
+        sized.withColumns(_quadratic(design.lonely_psu))
         .groupBy(*_KEY)
-        .agg(F.sum("v").alias("v"), *[F.any_value(c).alias(c) for c in payload])
+        .agg(*[F.sum(c).alias(c) for c in ("q0", "q1", "q2", *kept)], F.any_value("r").alias("r"))
     )
+    complete = F.lit(True) if omit_null else F.col("n_values") == F.col("n_rows")
+    means = summed.select(
+        "*",
+        F.when(complete, F.try_divide("swy", "sw")).alias("mean"),
+        F.when(complete, F.try_divide("sy", "n_values")).alias("unweighted_avg"),
+        (F.col("n_values") if omit_null else F.col("n_rows")).alias("N"),
+    ).withColumn("t", F.col("mean") - F.col("r"))
+    spread = F.expr("q0 - 2 * t * q1 + t * t * q2")
+    size = F.expr("abs(q0) + abs(2 * t * q1) + abs(t * t * q2)")
+    se = F.when(spread <= size * _NOISE, F.lit(0.0)).otherwise(F.try_divide(F.sqrt(spread), F.col("sw")))
     known = F.col("domain").isNotNull()
-    # Rounding can leave a variance of zero a hair below zero.
-    with_se = summed.filter(known | (F.col("N") > 0)).select(
-        *_KEY,
-        F.when(known, F.col("avg")).alias("avg"),
-        F.when(known & F.col("avg").isNotNull(), F.sqrt(F.greatest(F.col("v"), F.lit(0.0)))).alias("se"),
-        "N",
-        "unweighted_avg",
-        *extra,
+    with_se = means.filter(known | (F.col("N") > 0)).withColumns(
+        {
+            "avg": F.when(known, F.col("mean")),
+            "se": F.when(known & F.col("mean").isNotNull(), se),
+        }
     )
     ci = F.col("se") * F.lit(float(ci_factor))
-    result = with_se.withColumns(
-        {"ci": ci, "lb": F.col("avg") - ci, "ub": F.col("avg") + ci}
-    )
+    result = with_se.withColumns({"ci": ci, "lb": F.col("avg") - ci, "ub": F.col("avg") + ci})
     if deff:
-        n = F.col("n_used")
-        spread = (F.col("total_wyy") - F.col("avg") * F.col("avg") * F.col("total_w")) / F.nullif(
-            F.col("total_w"), F.lit(0.0)
-        )
-        simple = F.try_divide(spread * n, n - 1)
-        result = result.withColumn("deff", F.try_divide(F.col("se") * F.col("se") * n, simple))
+        # se^2 over the variance of the mean of a simple sample of the same size.
+        simple = F.expr("try_divide(try_divide(swyy - avg * avg * sw, sw) * n_values, n_values - 1)")
+        result = result.withColumn("deff", F.try_divide(F.expr("se * se * n_values"), simple))
     return result.select(*_KEY, *CONTRACT, *(["deff"] if deff else []))
 
 
