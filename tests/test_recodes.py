@@ -221,3 +221,17 @@ def test_audit_recode(spark):
     df = spark.createDataFrame([(998, None), (996, 0), (5, 5), (5, 5), (None, None)], "raw int, new int")
     got = {tuple(r) for r in audit_recode(df, "raw", "new").collect()}
     assert got == {(998, None, 1, 1), (996, 0, 1, 0), (5, 5, 2, 0), (None, None, 1, 0)}
+
+
+def test_camp_filter_and_pruning_reach_the_scan(spark, tmp_path):
+    schema = ", ".join(f"{k} {'string' if k == 'hhid' else 'bigint'}" for k in RAW_ROW)
+    path = str(tmp_path / "raw")
+    spark.createDataFrame([tuple(RAW_ROW.values())], schema).write.parquet(path)
+    regions = spark.createDataFrame([(3, "nord")], "code bigint, label string")
+    hh = households.household_table(spark.read.parquet(path), regions, regions)
+    slim = sanitation.sanitation_indicators(hh).select("region_name", "improved_toilet")
+    plan = slim._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "Not(EqualTo(shregnew,12))" in scan
+    read = scan.split("ReadSchema: ")[1]
+    assert "hv205" in read and "hv225" in read and "hv271" not in read and "hv204" not in read
