@@ -77,11 +77,12 @@ k AS (
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 ),
 e AS (
-  SELECT source, list_sort([{'error': abs(sum(copies[x] * size) - any_value(target)), 'k': x} FOR x IN range(1, 9)]) AS best
-  FROM k GROUP BY source
-)
-SELECT doc_id, size, source_size, target, (copies[best[1].k] * size)::BIGINT AS taken
-FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
+  SELECT source, x, abs(sum(copies[x] * size) - any_value(target)) AS error
+  FROM k CROSS JOIN range(1, 9) AS c(x) GROUP BY source, x
+),
+b AS (SELECT source, x FROM e QUALIFY row_number() OVER (PARTITION BY source ORDER BY error, x) = 1)
+SELECT doc_id, size, source_size, target, (copies[x] * size)::BIGINT AS taken
+FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source
 """
 
-ORACLES: dict[str, str] = {"op8_salted_exact_dedup": _OP8}
+ORACLES: dict[str, str] = {"op8_salted_exact_dedup": _OP8, "op9_source_mixing": _OP9}
