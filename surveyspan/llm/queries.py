@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surveyspan.llm import byte_shards, exact_dedup, mixing
+from surveyspan.llm import byte_shards, exact_dedup, language_id, mixing
 from surveyspan.llm.tools import table
 
 
@@ -14,6 +14,10 @@ def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards.shard_plan(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op7_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_salted_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op5_byte_shards,
+        op7_subword_language,
         op8_salted_exact_dedup,
         op9_source_mixing,
     )
