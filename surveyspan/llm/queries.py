@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surveyspan.llm import byte_shards, exact_dedup, language_id, mixing
+from surveyspan.llm import byte_shards, exact_dedup, language_id, license_classifier, mixing, structural_secrets
 from surveyspan.llm.tools import table
 
 
+def op2_structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structural_secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards.shard_plan(table(spark, sf_dir, "documents"), n_shards=40)
 
@@ -27,13 +31,19 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_classifier.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_structural_secrets,
         op5_byte_shards,
         op7_subword_language,
         op8_salted_exact_dedup,
         op9_source_mixing,
+        op10_license_classifier,
     )
 }
 
