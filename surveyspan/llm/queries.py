@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surveyspan.llm import byte_shards, exact_dedup, language_id, license_classifier, mixing, structural_secrets
+from surveyspan.llm import (
+    byte_shards,
+    exact_dedup,
+    language_id,
+    license_classifier,
+    mixing,
+    pivot_simhash,
+    structural_secrets,
+    subspace_join,
+)
 from surveyspan.llm.tools import table
 
 
@@ -14,10 +23,18 @@ def op2_structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structural_secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace_join.link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards.shard_plan(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op6_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -39,7 +56,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_structural_secrets,
+        op4_subspace_join,
         op5_byte_shards,
+        op6_pivot_simhash,
         op7_subword_language,
         op8_salted_exact_dedup,
         op9_source_mixing,
