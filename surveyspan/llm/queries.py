@@ -12,6 +12,7 @@ from surveyspan.llm import (
     language_id,
     license_classifier,
     mixing,
+    packing,
     pivot_simhash,
     structural_secrets,
     subspace_join,
@@ -19,6 +20,10 @@ from surveyspan.llm import (
 from surveyspan.llm.tools import table
 
 
+def op1_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op2_structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structural_secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ def op10_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_tiered_packing,
         op2_structural_secrets,
         op4_subspace_join,
         op5_byte_shards,
