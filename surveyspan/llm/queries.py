@@ -16,6 +16,7 @@ from surveyspan.llm import (
     pivot_simhash,
     structural_secrets,
     subspace_join,
+    token_files,
 )
 from surveyspan.llm.tools import table
 
@@ -28,6 +29,10 @@ def op2_structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structural_secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op4_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subspace_join.link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_tiered_packing,
         op2_structural_secrets,
+        op3_range_coded_ids,
         op4_subspace_join,
         op5_byte_shards,
         op6_pivot_simhash,
