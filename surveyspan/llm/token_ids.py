@@ -23,7 +23,7 @@ SECTION = 1 << 20
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s")
 _CUT = re.compile(r"\S(?= \S)")
 # White space to Python but not to the tokenizer.
-_ODD = re.compile(r"[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 
 
 def default_tokenizer() -> str:
@@ -54,40 +54,48 @@ class Encoder:
     def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of distinct pieces; those led by a blank are encoded in one string and cut apart by byte counts."""
         led = [p for p in pieces if len(p) > 1 and p[0] == " "]
-        done = {p: self._ids(p).tobytes() for p in pieces if len(p) == 1 or p[0] != " "}
+        bare = [p for p in pieces if len(p) == 1 or p[0] != " "]
         if led:
             flat = self._ids("".join(led))
             ends = np.cumsum(self.bytes_of[flat])
             want = np.cumsum([len(p.encode()) for p in led])
             cuts = np.searchsorted(ends, want) + 1
-            if len(cuts) and cuts[-1] == len(flat) and np.array_equal(ends[cuts - 1], want):
+            if cuts[-1] == len(flat) and np.array_equal(ends[cuts - 1], want):
                 raw, width = flat.tobytes(), self.kind.itemsize
-                starts = [0, *(int(c) * width for c in cuts)]
-                done.update((p, raw[starts[i] : starts[i + 1]]) for i, p in enumerate(led))
+                stops = (cuts * width).tolist()
+                done = {p: raw[a:b] for p, a, b in zip(led, [0, *stops[:-1]], stops, strict=True)}
             else:  # not a byte-level vocabulary
-                done.update((p, self._ids(p).tobytes()) for p in led)
+                done, bare = {}, pieces
+        else:
+            done = {}
+        found = self.tokenizer.encode_batch_fast(bare, add_special_tokens=False) if bare else []
+        done.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(bare, found, strict=True))
         return done
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; the texts together should be some megabytes at most."""
-        cache, cut = self.cache, [_PIECES.findall(t) if not _ODD.search(t) else None for t in texts]
-        found = [list(map(cache.get, pieces)) if pieces is not None else [] for pieces in cut]
-        new: dict[str, None] = {}
-        for pieces, hits in zip(cut, found, strict=True):
-            if None in hits:
-                new.update((p, None) for p, h in zip(pieces, hits, strict=True) if h is None)
-        own = self._pieces(list(new)) if new else {}
-        room = CACHE - len(cache)
-        if room > 0:
-            cache.update((p, own[p]) for p in list(own)[:room] if len(p) <= LONGEST)
-        out = []
-        for text, pieces, hits in zip(texts, cut, found, strict=True):
-            if pieces is None:
+        cache, pieces, ends = self.cache, [], []
+        for text in texts:
+            if not any(c in text for c in _ODD):
+                pieces += _PIECES.findall(text)
+            ends.append(len(pieces))
+        found = list(map(cache.get, pieces))
+        lacking = [i for i, f in enumerate(found) if f is None]
+        if lacking:
+            new = list(dict.fromkeys([pieces[i] for i in lacking]))
+            own = self._pieces(new)
+            for i in lacking:
+                found[i] = own[pieces[i]]
+            room = CACHE - len(cache)
+            if room > 0:
+                cache.update((p, own[p]) for p in new[:room] if len(p) <= LONGEST)
+        out, at = [], 0
+        for text, end in zip(texts, ends, strict=True):
+            if end == at and text:
                 out.append(self._ids(text))
-                continue
-            if None in hits:
-                hits = [own[p] if h is None else h for p, h in zip(pieces, hits, strict=True)]
-            out.append(np.frombuffer(b"".join(hits), self.kind))
+            else:
+                out.append(np.frombuffer(b"".join(found[at:end]), self.kind))
+            at = end
         return out
 
 
