@@ -287,12 +287,26 @@ _by("svyby_keep_nulls", WATER, "prim_sampling_unit", omit_null=False)
 
 @register(
     "svyby_wealth_mean",
-    f"WITH {sql.indicators()} SELECT d AS region_name, {sql.r('avg', 'avg', 5)}, {sql.r('se', 'se', 5)}, "
-    f"\"N\", {sql.r('unweighted_avg', 'unweighted_avg', 5)} FROM " + sql.estimate("ind", "wealth_idx", "region_name"),
+    f"WITH {sql.indicators()} SELECT d AS region_name, {sql.r('avg', 'avg', 7)}, {sql.r('se', 'se', 7)}, "
+    f"\"N\", {sql.r('unweighted_avg', 'unweighted_avg', 7)} FROM " + sql.estimate("ind", "wealth_idx", "region_name"),
 )
 def svyby_wealth_mean(spark, sf):
     table = point_estimate(sv.indicators(spark, sf), sv.DESIGN, "wealth_idx", "region_name")
-    return rounded(table.select("region_name", "avg", "se", "N", "unweighted_avg"), 5)
+    return rounded(table.select("region_name", "avg", "se", "N", "unweighted_avg"), 7)
+
+
+@register(
+    "svyby_far_domains",
+    f"WITH {sql.indicators()}, far AS (SELECT *, hv205 + 1e6 * ascii(right(region_name, 1)) AS shifted FROM ind) "
+    f"SELECT d AS region_name, {sql.r('avg', 'avg', 5)}, {sql.r('se', 'se')}, \"N\" FROM "
+    + sql.estimate("far", "shifted", "region_name"),
+)
+def svyby_far_domains(spark, sf):
+    """A continuous variable whose domains lie millions apart: the standard errors keep their digits."""
+    hh = sv.indicators(spark, sf)
+    shifted = F.col("hv205") + F.lit(1e6) * F.ascii(F.right("region_name", F.lit(1)))
+    table = point_estimate(hh.withColumn("shifted", shifted), sv.DESIGN, "shifted", "region_name")
+    return rounded(table.select("region_name", F.round("avg", 5).alias("avg"), "se", "N"))
 
 
 @register(
@@ -620,8 +634,8 @@ def case_rate_map(spark, sf):
         "Departement", fn.respell(F.col("Departement"), sv.POPULATION_FIXES)
     )
     totals = cholera.case_rates(sv.monthly_cases(spark, sf), people, ranked=False)
-    vertices = polygons.polygon_vertices(sv.commune_layer(spark, sf))
-    return rounded(geography.full_map_table(totals, vertices, {"NAME_2": "Departement"}))
+    areas = geography.full_map_table(totals, sv.commune_layer(spark, sf), {"NAME_2": "Departement"})
+    return rounded(polygons.polygon_vertices(areas, keep_empty=True))
 
 
 @register(
@@ -655,8 +669,9 @@ def monthly_series_national(spark, sf):
     FROM listed FULL JOIN v USING (commune, departement)""",
 )
 def priority_communes(spark, sf):
-    vertices = geography.trimmed_commune_names(polygons.polygon_vertices(sv.commune_layer(spark, sf)))
-    return rounded(cholera.priority_communes(sv.priority_sheet(spark, sf), vertices))
+    layer = geography.trimmed_commune_names(sv.commune_layer(spark, sf))
+    areas = cholera.priority_communes(sv.priority_sheet(spark, sf), layer)
+    return rounded(polygons.polygon_vertices(areas, keep_empty=True))
 
 
 # --- geometry and maps -------------------------------------------------------
@@ -693,8 +708,8 @@ def _map(name: str, var: str, by: str, vertex_name: str) -> None:
     def query(spark, sf):
         place = {"attach": sv.geography(spark, sf), "on": GEO_KEYS} if by.startswith("admin") else {}
         areas = point_estimate(sv.indicators(spark, sf), sv.DESIGN, var, by, **place)
-        vertices = polygons.polygon_vertices(sv.commune_layer(spark, sf))
-        return rounded(geography.map_table(areas, vertices, by, vertex_name))
+        mapped = geography.map_table(areas, sv.commune_layer(spark, sf), by, vertex_name)
+        return rounded(polygons.polygon_vertices(mapped))
 
 
 _map("map_table", TOILET, "region_name", "DHSREGFR")
@@ -711,7 +726,7 @@ def centroid_labels(spark, sf):
     layer = sv.commune_layer(spark, sf)
     hh, geo = sv.indicators(spark, sf), sv.geography(spark, sf)
     areas = point_estimate(hh, sv.DESIGN, TOILET, "admin2", attach=geo, on=GEO_KEYS)
-    mapped = geography.map_table(areas, polygons.polygon_vertices(layer), "admin2", "NAME_2")
+    mapped = geography.map_table(areas, layer, "admin2", "NAME_2")
     centres = polygons.polygon_centroids(layer, "NAME_2")
     return rounded(geography.centroid_labels(centres, mapped, "NAME_2", "avg"), 6)
 

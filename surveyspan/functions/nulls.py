@@ -73,20 +73,21 @@ def top_code(column: Column, code, value) -> Column:
     return replace_where(column, value, column == F.lit(code))
 
 
-def code_class(column: Column, sets: Mapping[int, Iterable[int]], largest: int = 4095) -> Column:
-    """Class number of an integer code: ``{class: [codes]}``, NULL for any other code.
+def code_class(column: Column, sets: Mapping[int, Iterable[int]]) -> Column:
+    """Class number of an integer code: ``{class: [codes]}``, NULL for any other value.
 
-    Survey codes are small, so the lists become one array literal that is read by
-    position. Compared with a chain of ``IN`` lists this keeps the generated method
-    short; above 8,000 bytes the JVM no longer compiles it and a scan slows down
-    several times. Larger or negative codes fall back to the ``IN`` lists.
+    Only a value that equals a listed code has a class: 10.5 is not 10, whatever the list. The
+    codes and their classes are two array literals. Compared with a chain of ``IN`` lists this keeps the
+    generated method short; above 8,000 bytes the JVM no longer compiles it and a scan slows
+    down several times. A code in several lists belongs to the first.
     """
     classes: dict[int, int] = {}
     for number, codes in sets.items():
         for code in codes:
             classes.setdefault(int(code), number)
-    if not classes or min(classes) < 0 or max(classes) > largest:
-        return recode_sets(column, sets)
-    slots = ", ".join(str(classes.get(code, "NULL")) for code in range(max(classes) + 1))
-    index = column.try_cast("int")
-    return F.get(F.expr(f"array({slots})"), index)
+    if not classes:
+        return F.lit(None).cast("int")
+    codes = F.expr(f"array({', '.join(f'{c}L' for c in classes)})")
+    numbers = F.expr(f"array({', '.join(str(n) for n in classes.values())})")
+    whole = column.try_cast("bigint")
+    return F.get(numbers, F.array_position(codes, F.when(whole == column, whole)).cast("int") - 1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def implied_decimals(df: DataFrame, divisors: Mapping[str, float]) -> DataFrame:
     """Divide integer-coded columns by their scale, e.g. ``{"sample_wt": 1e6}``."""
-    return df.withColumns({c: F.col(c) / F.lit(float(d)) for c, d in divisors.items()})
+    return df.withColumns({c: F.col(f"`{c}`") / F.lit(float(d)) for c, d in divisors.items()})
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -33,6 +33,12 @@ def to_integer(column: Column) -> Column:
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
-    """Make NULL the only missing value at ingest."""
-    floating = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floating}) if floating else df
+    """Make NULL the only missing value at ingest; labels stay on their columns."""
+
+    def cleaned(f) -> Column:
+        c = F.col(f"`{f.name}`")
+        if f.dataType.typeName() not in ("double", "float"):
+            return c
+        return F.when(~F.isnan(c), c).alias(f.name, metadata=f.metadata)
+
+    return df.select(*[cleaned(f) for f in df.schema.fields])

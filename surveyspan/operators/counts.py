@@ -10,7 +10,6 @@ from pyspark.sql.window import Window
 
 from surveyspan.functions import percent
 from surveyspan.operators.joins import quoted
-from surveyspan.sources.codebook import bounded_rows
 
 
 def group_count(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -65,14 +64,13 @@ def domain_counts(
 
 
 def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence | None = None) -> DataFrame:
-    """Counts by two columns, wide; NULL stays a real row key.
+    """Counts by two columns; NULL stays a real key.
 
-    ``values`` lists the column values to spread (``None`` for missing). Left out,
-    they are looked up first, in a pass of its own that fails beyond 1,000 values.
+    ``values`` lists the column values to spread (``None`` for missing), one column each. Left out, the
+    counts come in long form, one row per pair, whatever the number of values.
     """
     if values is None:
-        found = bounded_rows(df.select(quoted(columns)).distinct(), 1_000, f"column {columns}")
-        values = sorted((r[0] for r in found), key=lambda v: (v is None, v))
+        return group_count(df, [rows, columns])
 
     def name(v) -> str:
         return "missing" if v is None else str(v)

@@ -6,21 +6,19 @@ stratum h contributes ``z = (A_c - avg * W_c) / W``. The variance is
 stratum in the whole design. PSUs without rows in the domain have z = 0, so they
 need no rows of their own. (Binder 1983; Lumley 2004, J. Stat. Softw. 9(8).)
 
-With residuals ``e_c = A_c - r*W_c`` around the overall mean r and ``t = avg - r``, z is
-``(e_c - t*W_c) / W``, so the variance is the quadratic ``(q0 - 2*t*q1 + t^2*q2) / W^2``
-whose coefficients add up over strata. avg is only needed at the very end, and
-the PSU totals never have to be joined to their domain's mean. Starting from
-residuals rather than from A_c keeps the three terms small, so little is lost
-when they are subtracted.
+z is taken around the domain's own mean, not as a difference of larger sums, so domains whose
+means lie far apart keep all digits of their standard errors.
 
 Shape of the work:
 
 1. one pass over the facts to PSU totals at the finest grouping (map-side combined);
 2. roll-up of that reduced table to every requested domain column, then staged;
-3. sums per domain and stratum, n_h beside them, sums per domain.
+3. domain sums and means, joined back to the staged totals, then sums per domain and stratum
+   with n_h beside them, then per domain.
 
-Steps 1 and 3 are hash aggregations with partial sums and there is no window and no
-join on the domain, so a domain or stratum that holds most rows sits in no single task.
+All aggregations are hash aggregations with partial sums and there is no window. The join in step 3 is an inner
+join of reduced rows with one row per domain: it is broadcast while that table is small, and a domain that
+holds most PSUs is the large side, which AQE may split.
 """
 
 from __future__ import annotations
@@ -157,30 +155,18 @@ def population_sizes(population: DataFrame, design: SurveyDesign) -> DataFrame:
     return frame.distinct().groupBy("stratum").agg(F.count("psu").alias("n_psu"))
 
 
-def _quadratic(lonely_psu: str) -> dict[str, Column]:
-    """Coefficients of the variance in t, per domain and stratum."""
-    n = F.col("n_psu")
-    ee, ew, ww, e, w = (F.col(c) for c in ("ee", "ew", "ww", "e", "sw"))
-    lonely_keeps = F.lit(1.0 if lonely_psu == "adjust" else 0.0)
+def _stratum_variance(lonely_psu: str) -> Column:
+    """What a stratum adds to a domain's variance, from the sums ``z`` and ``zz`` of its PSUs."""
+    n, z, zz = F.col("n_psu"), F.col("z"), F.col("zz")
+    lonely = zz if lonely_psu == "adjust" else F.lit(0.0)
     if lonely_psu == "fail":
         message = F.concat(F.lit("only one PSU in stratum "), F.col("stratum").cast("string"))
-        lonely_keeps = F.raise_error(message).cast("double")
+        lonely = F.raise_error(message).cast("double")
     message = F.concat(F.lit("stratum absent from the design: "), F.col("stratum").cast("string"))
     unknown = F.raise_error(message).cast("double")
-    factor = n / F.nullif(n - 1, F.lit(0))
-
-    def coefficient(squares: Column, product: Column) -> Column:
-        return (
-            F.when(n.isNull(), unknown)
-            .when(n == 1, squares * lonely_keeps)
-            .otherwise(factor * (squares - product / n))
-        )
-
-    return {"q0": coefficient(ee, e * e), "q1": coefficient(ew, e * w), "q2": coefficient(ww, w * w)}
-
-
-# A variance below this share of the terms it is the difference of is rounding noise.
-_NOISE = 1e-12
+    spread = n / F.nullif(n - 1, F.lit(0)) * (zz - z * z / n)
+    # rounding can leave a tiny negative number where the PSUs do not differ
+    return F.when(n.isNull(), unknown).when(n == 1, lonely).otherwise(F.greatest(spread, F.lit(0.0)))
 
 
 def estimates(
@@ -198,41 +184,38 @@ def estimates(
     With ``omit_null=False`` one missing value makes the whole domain missing.
     """
     sizes = stratum_sizes(totals) if sizes is None else sizes
-    whole = totals.filter(F.col("by_var") == NATIONAL).groupBy(F.col("variable").alias("_v"))
-    overall = whole.agg(F.coalesce(F.try_divide(F.sum("swy"), F.sum("sw")), F.lit(0.0)).alias("r"))
     kept = [*_SUMS, "n_rows", *(["swyy"] if deff else [])]
-
-    # `overall` has one row per indicator the caller listed.
-    residual = F.col("swy") - F.col("r") * F.col("sw")
+    domains = totals.groupBy(*[F.col(k).alias(f"_{k}") for k in _KEY]).agg(*[F.sum(c).alias(f"_{c}") for c in kept])
+    means = domains.withColumn("_mean", F.try_divide("_swy", "_sw"))
+    own = (
+        (F.col("variable") == F.col("_variable"))
+        & (F.col("by_var") == F.col("_by_var"))
+        & F.col("domain").eqNullSafe(F.col("_domain"))
+    )
+    known_sums = [f"_{c}" for c in kept]
+    carried = [F.any_value(c).alias(c) for c in [*known_sums, "_mean"]]
     per_stratum = (
-        totals.join(F.broadcast(overall), F.col("variable") == F.col("_v"))
-        .withColumn("e", residual)
+        totals.select(*_KEY, "stratum", "sw", "swy")
+        .join(means, own)
+        .withColumn("z", F.try_divide(F.expr("swy - _mean * sw"), F.col("_sw")))
         .groupBy(*_KEY, "stratum")
-        .agg(
-            F.sum("e").alias("e"),
-            F.sum(F.expr("e * e")).alias("ee"),
-            F.sum(F.expr("e * sw")).alias("ew"),
-            F.sum(F.expr("sw * sw")).alias("ww"),
-            F.any_value("r").alias("r"),
-            *[F.sum(c).alias(c) for c in kept],
-        )
+        .agg(F.sum("z").alias("z"), F.sum(F.expr("z * z")).alias("zz"), *carried)
     )
     sized = per_stratum.join(sizes.withColumnRenamed("stratum", "_h"), F.col("stratum") == F.col("_h"), "left")
     summed = (
-        sized.withColumns(_quadratic(design.lonely_psu))
+        sized.withColumn("spread", _stratum_variance(design.lonely_psu))
         .groupBy(*_KEY)
-        .agg(*[F.sum(c).alias(c) for c in ("q0", "q1", "q2", *kept)], F.any_value("r").alias("r"))
+        .agg(F.sum("spread").alias("spread"), *carried)
+        .select(*_KEY, "spread", *[F.col(f"_{c}").alias(c) for c in kept], F.col("_mean").alias("own_mean"))
     )
     complete = F.lit(True) if omit_null else F.col("n_values") == F.col("n_rows")
     means = summed.select(
         "*",
-        F.when(complete, F.try_divide("swy", "sw")).alias("mean"),
+        F.when(complete, F.col("own_mean")).alias("mean"),
         F.when(complete, F.try_divide("sy", "n_values")).alias("unweighted_avg"),
         (F.col("n_values") if omit_null else F.col("n_rows")).alias("N"),
-    ).withColumn("t", F.col("mean") - F.col("r"))
-    spread = F.expr("q0 - 2 * t * q1 + t * t * q2")
-    size = F.expr("abs(q0) + abs(2 * t * q1) + abs(t * t * q2)")
-    se = F.when(spread <= size * _NOISE, F.lit(0.0)).otherwise(F.try_divide(F.sqrt(spread), F.col("sw")))
+    )
+    se = F.sqrt("spread")
     known = F.col("domain").isNotNull()
     with_se = means.filter(known | (F.col("N") > 0)).withColumns(
         {

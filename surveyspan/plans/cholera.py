@@ -31,13 +31,13 @@ def commune_priorities(raw: DataFrame) -> DataFrame:
     )
 
 
-def priority_communes(raw: DataFrame, vertices: DataFrame, how: str = "full") -> DataFrame:
+def priority_communes(raw: DataFrame, layer: DataFrame, how: str = "full") -> DataFrame:
     """Commune priorities on the commune polygons (both name columns trimmed).
 
     ``how="left"`` keeps listed communes only; ``full`` also keeps polygons of
-    communes that are not listed.
+    communes that are not listed. ``polygon_vertices(..., keep_empty=True)`` makes the vertex table of it.
     """
-    return keyed_join(commune_priorities(raw), vertices, ["commune", "departement"], how)
+    return keyed_join(commune_priorities(raw), layer, ["commune", "departement"], how)
 
 
 def rates(cases: DataFrame, population: DataFrame, spellings=POPULATION_SPELLINGS) -> DataFrame:

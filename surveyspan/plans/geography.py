@@ -68,23 +68,27 @@ def admin_lookup(layer: DataFrame, admin1: str = "NAME_1", admin2: str = "NAME_2
     return pairs.withColumn("admin1", respell(F.col("admin1"), dict(spellings)))
 
 
-def trimmed_commune_names(vertices: DataFrame, commune: str = "A2_Name", departement: str = "A1_Name") -> DataFrame:
-    return vertices.withColumns(
+def trimmed_commune_names(layer: DataFrame, commune: str = "A2_Name", departement: str = "A1_Name") -> DataFrame:
+    return layer.withColumns(
         {"commune": trim_text(quoted(commune)), "departement": trim_text(quoted(departement))}
     )
 
 
-def map_table(estimates: DataFrame, vertices: DataFrame, name: str, vertex_name: str) -> DataFrame:
-    """Every vertex with the estimate of its area; areas without estimate keep NULL.
+def map_table(estimates: DataFrame, layer: DataFrame, name: str, layer_name: str) -> DataFrame:
+    """Every polygon with the estimate of its area; areas without estimate keep NULL.
 
-    The estimates are checked to hold one row per name, so no vertex is repeated.
+    The estimates are checked to hold one row per name, so no polygon is repeated. Give the polygons
+    and take their vertices (:func:`polygon_vertices`) afterwards: then no vertex is shuffled.
     """
-    return keyed_join(vertices, unique_lookup(estimates, [name]), {vertex_name: name}, "left")
+    return keyed_join(layer, unique_lookup(estimates, [name]), {layer_name: name}, "left")
 
 
-def full_map_table(values: DataFrame, vertices: DataFrame, on: Mapping[str, str] | Sequence[str]) -> DataFrame:
-    """Vertices and area values, keeping areas that have no polygon as well."""
-    return keyed_join(vertices, values, on, "full")
+def full_map_table(values: DataFrame, layer: DataFrame, on: Mapping[str, str] | Sequence[str]) -> DataFrame:
+    """Polygons and area values, keeping areas that have no polygon as well.
+
+    ``polygon_vertices(..., keep_empty=True)`` makes the vertex table of it.
+    """
+    return keyed_join(layer, values, on, "full")
 
 
 def centroid_labels(centroids: DataFrame, mapped: DataFrame, name: str, fill: str, digits: int = 0) -> DataFrame:

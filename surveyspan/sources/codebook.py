@@ -23,7 +23,6 @@ CODEBOOK_SCHEMA = T.StructType(
     ]
 )
 MAX_VARIABLES = 20_000
-MAX_CODES = 10_000
 
 
 @dataclass(frozen=True)
@@ -66,18 +65,17 @@ def attach_codebook(df: DataFrame, variables: Iterable[Variable]) -> DataFrame:
     Spark keeps the metadata through filters, plain selects and Parquet, and drops
     it from computed columns, so recodes attach their own.
     """
-    for variable in variables:
-        if variable.name in df.columns:
-            df = df.withMetadata(variable.name, _metadata(variable))
-    return df
+    found = {v.name: _metadata(v) for v in variables}
+    return df.select(
+        *[quoted(c).alias(c, metadata=found[c]) if c in found else quoted(c) for c in df.columns]
+    )
 
 
 def strip_metadata(df: DataFrame) -> DataFrame:
     """Plain columns without labels."""
-    for f in df.schema.fields:
-        if f.metadata:
-            df = df.withMetadata(f.name, {})
-    return df
+    return df.select(
+        *[quoted(f.name).alias(f.name, metadata={}) if f.metadata else quoted(f.name) for f in df.schema.fields]
+    )
 
 
 def codebook_table(df: DataFrame) -> DataFrame:
@@ -97,11 +95,13 @@ def value_labels(codebook: DataFrame, variable: str) -> DataFrame:
 
 
 def decode(column: Column, values: Mapping[str, int]) -> Column:
-    """Codes to labels; a code without a label passes through as text."""
+    """Codes to labels; a value that equals no labelled code passes through as text."""
     if not values:
         return column.cast("string")
     entries = [F.lit(x) for label, code in values.items() for x in (int(code), label)]
-    found = F.try_element_at(F.create_map(*entries), column.cast("int"))
+    entries = [e.cast("bigint") if i % 2 == 0 else e for i, e in enumerate(entries)]
+    whole = column.try_cast("bigint")
+    found = F.try_element_at(F.create_map(*entries), F.when(whole == column, whole))
     return F.coalesce(found, column.cast("string"))
 
 
@@ -114,9 +114,6 @@ def decode_labels(df: DataFrame, columns: Sequence[str], variables: Iterable[Var
         labels = {f.name: f.metadata.get("labels", {}) for f in df.schema.fields}
     else:
         labels = {v.name: v.values for v in variables}
-    for c in columns:
-        if len(labels.get(c, {})) > MAX_CODES:
-            raise ValueError(f"{c} has more than {MAX_CODES} labels; use joins.lookup")
     return df.withColumns({c: decode(quoted(c), labels.get(c, {})) for c in columns})
 
 

@@ -18,18 +18,23 @@ from surveyspan.operators.joins import keyed_join, quoted, unique_lookup
 from surveyspan.sources.sinks import write_numbered_csv
 
 
-def polygon_vertices(layer: DataFrame, rings: str = "rings", id_column: str = "id") -> DataFrame:
+def polygon_vertices(
+    layer: DataFrame, rings: str = "rings", id_column: str = "id", keep_empty: bool = False
+) -> DataFrame:
     """One row per vertex: ``long, lat, order, piece, group, id`` and the attributes.
 
     ``order`` runs on through all pieces of a polygon, ``piece`` counts its rings from 1.
+    Attributes are joined to the layer before this, so that joins move one row per polygon. With
+    ``keep_empty`` a row without rings stays, with NULL in place of a vertex.
     """
+    explode = F.posexplode_outer if keep_empty else F.posexplode
     attributes = [c for c in layer.columns if c not in (rings, id_column)]
     sizes = F.transform(quoted(rings), lambda r: F.size(r))
     pieces = layer.select(
         quoted(id_column).alias("id"),
         *[quoted(a) for a in attributes],
         sizes.alias("_sizes"),
-        F.posexplode(quoted(rings)).alias("_p", "_ring"),
+        explode(quoted(rings)).alias("_p", "_ring"),
     )
     before = F.aggregate(F.slice("_sizes", 1, F.col("_p")), F.lit(0), lambda total, n: total + n)
     points = pieces.select(
@@ -37,14 +42,17 @@ def polygon_vertices(layer: DataFrame, rings: str = "rings", id_column: str = "i
         *[quoted(a) for a in attributes],
         (F.col("_p") + 1).alias("piece"),
         before.alias("_before"),
-        F.posexplode("_ring").alias("_v", "_xy"),
+        explode("_ring").alias("_v", "_xy"),
     )
     return points.select(
         F.col("_xy.x").alias("long"),
         F.col("_xy.y").alias("lat"),
         (F.col("_before") + F.col("_v") + 1).alias("order"),
         "piece",
-        F.concat_ws(".", F.col("id").cast("string"), F.col("piece").cast("string")).alias("group"),
+        F.when(
+            F.col("piece").isNotNull(),
+            F.concat_ws(".", F.col("id").cast("string"), F.col("piece").cast("string")),
+        ).alias("group"),
         "id",
         *[quoted(a) for a in attributes],
     )

@@ -64,24 +64,30 @@ def read_sheet_export(
 ) -> DataFrame:
     """A spreadsheet exported to CSV, typed by ``schema``.
 
-    With ``lead_rows`` the file starts with title lines (text in the first cell
-    only) above the header. Lines are recognised by content, not by position, so
-    the file can be split and read in parallel. Cells that do not fit the type
-    become NULL.
+    With ``lead_rows`` each file starts with title lines above the header: everything up to and
+    including the first line that repeats the column names is dropped, and nothing after it, however empty a row is.
+    The header is looked for in the first block of each file; large files are still split and read in parallel. A file
+    without a header line keeps all its lines. Cells that do not fit the type become NULL.
     """
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if not lead_rows:
         return spark.read.csv(path, schema=wanted, header=True, enforceSchema=True)
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])
     raw = spark.read.csv(path, schema=text, header=False, mode="PERMISSIVE")
-    first, *rest = wanted.fieldNames()
-    header = quoted(first).eqNullSafe(F.lit(first))
-    for name in rest:
+    placed = raw.select(
+        *[quoted(c) for c in raw.columns],
+        F.col("_metadata.file_path").alias("_file"),
+        (F.col("_metadata.file_block_start") == 0).alias("_head"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+    header = F.lit(True)
+    for name in wanted.fieldNames():
         header = header & quoted(name).eqNullSafe(F.lit(name))
-    title = F.lit(bool(rest))
-    for name in rest:
-        title = title & quoted(name).isNull()
-    return raw.filter(~header & ~title).select(
+    # one row per file
+    headers = placed.filter(F.col("_head") & header).groupBy(F.col("_file").alias("_f")).agg(F.min("_line").alias("_last"))
+    found = placed.join(headers, F.col("_file") == F.col("_f"), "left")
+    above = F.col("_head") & (F.col("_line") <= F.coalesce("_last", F.lit(-1)))
+    return found.filter(~above).select(
         *[quoted(f.name).try_cast(f.dataType).alias(f.name) for f in wanted.fields]
     )
 

@@ -251,3 +251,30 @@ def test_total_share_scans_once(df, spark, sf_dir):
     plan = shares._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert "Reused" in plan
+
+
+def test_far_domains_keep_their_standard_errors(spark):
+    rows, want = [], {}
+    for d, level in (("A", 1e6), ("B", 0.0)):
+        values = {}
+        for h in range(2):
+            for c in range(8):
+                y = level + ((c * 7 + h * 3) % 5) / 3
+                rows.append((d, f"s{h}", f"{d}{h}{c}", 1.0, y))
+                values[(h, c)] = y
+        mean = math.fsum(values.values()) / 16
+        total = 0.0
+        for h in range(2):
+            z = [(values[(h, c)] - mean) / 16 for c in range(8)]
+            # the stratum holds the PSUs of both domains; the others have z = 0
+            total += 16 / 15 * (math.fsum(v * v for v in z) - math.fsum(z) ** 2 / 16)
+        want[d] = math.sqrt(total)
+    df = spark.createDataFrame(rows, "d string, h string, c string, w double, y double")
+    table = point_estimate(df, SurveyDesign(psu="c", stratum="h", weight="w"), "y", "d")
+    for r in table.collect():
+        assert r["se"] == pytest.approx(want[r["d"]], rel=1e-9)
+
+
+def test_long_crosstab_has_no_limit(spark):
+    df = spark.range(3000).selectExpr("id % 2 AS a", "id AS b")
+    assert counts.crosstab(df, "a", "b").count() == 3000

@@ -109,3 +109,9 @@ def test_ratio_casts_and_nan(spark):
 def test_implied_decimals(spark):
     df = fn.implied_decimals(spark.createDataFrame([(1500000, -250000)], "w bigint, x bigint"), {"w": 1e6, "x": 1e5})
     assert tuple(df.first()) == (1.5, -2.5)
+
+
+@pytest.mark.parametrize("sets", [{1: [10], 2: [-3]}, {1: [10, 5000], 2: [-3]}, {1: [10, 3_000_000_000], 2: [-3]}])
+def test_code_class_has_one_rule_for_all_lists(spark, sets):
+    rows = [(10.0,), (10.5,), (-3.0,), (None,), (11.0,)]
+    assert [r[0] for r in one(spark, rows, "x double", fn.code_class(F.col("x"), sets))] == [1, None, 2, None, None]

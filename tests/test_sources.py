@@ -77,6 +77,12 @@ def test_sheet_export(spark, tmp_path):
     path.write_text("List of communes,,\ncommune,cases,month\nA,12,2015-01-01\nB,n/a,2015-02-01\n")
     got = [tuple(map(str, r)) for r in tables.read_sheet_export(spark, str(path), "commune string, cases double, month date", lead_rows=True).collect()]
     assert got == [("A", "12.0", "2015-01-01"), ("B", "None", "2015-02-01")]
+    folder = tmp_path / "several"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Title,,\ncommune,cases,month\nA,1,2015-01-01\nNippes,,\ncommune,cases,month\n")
+    (folder / "b.csv").write_text("Title,,\nMore,,\ncommune,cases,month\nB,2,2015-01-01\n")
+    kept = tables.read_sheet_export(spark, str(folder), "commune string, cases double, month date", lead_rows=True)
+    assert sorted((r[0], r[1]) for r in kept.collect()) == [("A", 1.0), ("B", 2.0), ("Nippes", None), ("commune", None)]
     plain = tmp_path / "plain.csv"
     plain.write_text("Departement,Month,Cases,Deaths\nSud,2015-01-01,3,\n")
     row = tables.read_sheet_export(spark, str(plain), tables.MONTHLY_CASES_SCHEMA).first()
@@ -152,3 +158,27 @@ def test_priority_communes_on_polygons(spark, layer):
     full = priority_communes(raw, vertices)
     assert full.count() == 15 and full.filter("prevalence2016 = 3").count() == 10
     assert priority_communes(raw, vertices, "left").count() == 11
+
+
+def test_wide_codebook_and_labels_on_doubles(spark, tmp_path):
+    import time
+
+    names = [f"v{i}" for i in range(2000)]
+    wide = spark.createDataFrame([tuple(range(2000))], ", ".join(f"{n} long" for n in names))
+    start = time.time()
+    labelled = attach_codebook(wide, [Variable(n, n, {"zero": 0}) for n in names])
+    assert time.time() - start < 15
+    assert all(f.metadata["labels"] == {"zero": 0} for f in labelled.schema.fields)
+    assert not any(f.metadata for f in strip_metadata(labelled).schema.fields)
+
+    doubles = spark.createDataFrame([(1.0, float("nan"))], "`a.b` double, c double")
+    path = str(tmp_path / "labelled")
+    attach_codebook(doubles, [Variable("a.b", "dotted", {"one": 1})]).write.parquet(path)
+    again = tables.read_microdata(spark, path)
+    assert again.schema["a.b"].metadata["labels"] == {"one": 1} and again.first()["c"] is None
+
+
+def test_decode_matches_whole_values_only(spark):
+    df = spark.createDataFrame([(1.0,), (1.5,), (3e9,), (None,)], "x double")
+    got = [r[0] for r in decode_labels(df, ["x"], [Variable("x", None, {"one": 1, "big": 3_000_000_000})]).collect()]
+    assert got == ["one", "1.5", "big", None]
