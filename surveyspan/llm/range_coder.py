@@ -150,7 +150,7 @@ class _In:
         self.low[rows] += self.step * start
         self.range[rows] = self.step * freq
         for index, low, width in _unsettled(self, rows):
-            at = self.at[index]
+            at = np.minimum(self.at[index], len(self.units) - 1)  # a damaged block may ask for more
             self.code[index] = (self.code[index] << _S16) | self.units[at].astype(_U)
             self.at[index] = at + 1
             self.low[index], self.range[index] = low << _S16, width << _S16
