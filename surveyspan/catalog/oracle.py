@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from surveyspan.catalog.surrogate import TOILET_CODES, WATER_CODES
-from surveyspan.plans.sanitation import (
-    IMPROVED_TOILETS,
-    OPEN_DEFECATION,
-    TOILET_TYPES,
-    UNIMPROVED_TOILETS,
-)
-from surveyspan.plans.water import BOTTLED_WATER, IMPROVED_WATER, UNIMPROVED_WATER, WATER_TYPES
+from surveyspan.plans.sanitation import TOILET_TYPES
+from surveyspan.plans.water import WATER_TYPES
+
+# Fixed values, written out once more so that a wrong list in the package does not pass.
+IMPROVED_TOILETS = (10, 11, 12, 13, 14, 15, 20, 21, 22, 41)
+OPEN_DEFECATION = (30, 31)
+UNIMPROVED_TOILETS = (23, 42, 43, 44, 45, 96)
+IMPROVED_WATER = (10, 11, 12, 13, 14, 20, 21, 31, 32, 41, 51)
+UNIMPROVED_WATER = (30, 33, 34, 40, 42, 43, 61, 62, 71, 72, 96)
+BOTTLED_WATER = (71, 72)
 
 
 def _list(codes) -> str:

@@ -22,7 +22,9 @@ from surveyspan.operators.reshape import codes_with, codes_without
 from surveyspan.plans import audit, child, cholera, geography, report, sanitation, tables, water
 from surveyspan.plans.households import GEO_KEYS, HouseholdRules
 from surveyspan.sources import polygons
-from surveyspan.sources.codebook import codebook_table, decode_labels, value_labels
+from surveyspan.sources.codebook import codebook_table, decode_labels, strip_metadata, value_labels
+from surveyspan.sources.tables import read_code_classes
+from surveyspan.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,6 +118,39 @@ def indicators_alternate(spark, sf):
     )
 
 
+def _class_table(spark, sf, source: str, classes: dict) -> DataFrame:
+    """A classification table over the codes that the households hold."""
+    codes = sv.households(spark, sf).select(F.col(source).alias("code")).distinct()
+    named = fn.recode_sets(F.col("code"), classes)
+    return codes.withColumn("improved", named).filter(F.col("improved").isNotNull())
+
+
+@register("sanitation_from_table", ORACLES["sanitation_indicators"])
+def sanitation_from_table(spark, sf):
+    """The class lists come from a table, not from the package."""
+    # The toilet classes as a classification file lists them.
+    listed = {
+        "Improved": (10, 11, 12, 13, 14, 15, 20, 21, 22, 41),
+        "Unimproved": (23, 42, 43, 44, 45, 96),
+        "open defecation": (30, 31),
+    }
+    table = _class_table(spark, sf, "toilet_source", listed)
+    classes = sanitation.ToiletClasses.from_classes(read_code_classes(table))
+    return sanitation.sanitation_indicators(sv.households(spark, sf), classes).select(
+        *sanitation_indicators(spark, sf).columns
+    )
+
+
+@register(
+    "stripped_labels",
+    f"WITH {sql.households()} SELECT CAST(hv205 AS VARCHAR) AS hv205, count(*) AS n FROM hh GROUP BY 1",
+)
+def stripped_labels(spark, sf):
+    """Without its labels a column decodes to its codes."""
+    plain = strip_metadata(sv.households(spark, sf))
+    return counts.group_count(decode_labels(plain, ["hv205"]), ["hv205"])
+
+
 @register(
     "decode_labels",
     f"WITH {sql.LABELS}, {sql.households()} "
@@ -470,7 +505,7 @@ def urban_rural_gap(spark, sf):
            region_name_order FROM longer LEFT JOIN rk USING (region_name)""",
 )
 def compare_indicators(spark, sf):
-    many = estimate_many(sv.indicators(spark, sf), sv.DESIGN, [TOILET, WATER], ["region_name"])
+    many = stage(estimate_many(sv.indicators(spark, sf), sv.DESIGN, [TOILET, WATER], ["region_name"]))
     first, second = (tables.domain_table(many, v, "region_name") for v in (TOILET, WATER))
     return rounded(tables.compare_indicators(first, second, "region_name", "improved latrines", "improved water"))
 
@@ -682,6 +717,18 @@ def polygon_vertices(spark, sf):
     return rounded(polygons.polygon_vertices(sv.commune_layer(spark, sf)))
 
 
+@register(
+    "vertex_attributes",
+    f"WITH {sql.VERTICES} SELECT {sql.VERTEX_COLUMNS} FROM vertex WHERE id IN (1, 2, 3, 50) AND piece = 1",
+)
+def vertex_attributes(spark, sf):
+    """A layer kept in two tables, some polygons, and of those the first ring."""
+    layer = sv.commune_layer(spark, sf)
+    vertices = polygons.polygon_vertices(layer.select("id", "rings"))
+    attributed = polygons.attach_attributes(polygons.select_pieces(vertices, [1, 2, 3, 50]), layer.drop("rings"))
+    return rounded(attributed)
+
+
 _CENTROIDS = f"""{sql.VERTICES},
     edge AS (SELECT *, lead(long) OVER w AS nx, lead(lat) OVER w AS ny FROM vertex
              WINDOW w AS (PARTITION BY id, piece ORDER BY "order")),

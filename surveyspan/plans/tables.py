@@ -12,6 +12,7 @@ from surveyspan.operators.estimate import domain_table, estimate_many
 from surveyspan.operators.joins import keyed_join, quoted, unique_lookup, with_scalar
 from surveyspan.operators.order import exact_median, level_order, with_level_order
 from surveyspan.operators.reshape import long_form
+from surveyspan.staging import stage
 
 
 def with_parent_summary(
@@ -45,7 +46,7 @@ def district_table(
 
     ``options`` go to :func:`estimate_many`.
     """
-    many = estimate_many(df, design, [var], [child_key, parent_key], **options)
+    many = stage(estimate_many(df, design, [var], [child_key, parent_key], **options))
     return with_parent_summary(
         domain_table(many, var, child_key), names, domain_table(many, var, parent_key), child_key, parent_key
     )
@@ -66,7 +67,7 @@ def urban_rural_gap(
     the region, so urban rows show the rural mean; ``region_order`` ranks the
     regions that have an urban part by their overall mean.
     """
-    many = estimate_many(df, design, [var], [region_urban, region], **options)
+    many = stage(estimate_many(df, design, [var], [region_urban, region], **options))
     return gap_table(domain_table(many, var, region_urban), domain_table(many, var, region), region_urban, region, separator)
 
 
@@ -97,7 +98,7 @@ def compare_indicators(
     """
     a = first.select(quoted(key), F.col("avg").alias(first_name))
     b = second.select(quoted(key), F.col("avg").alias(second_name))
-    wide = keyed_join(a, b, key, "full")
+    wide = stage(keyed_join(a, b, key, "full"))  # read three times, one row per area
     longer = long_form(wide, [key], [first_name, second_name])
     middle = exact_median(longer, "value", [quoted(key).asc(), F.col("indicator").asc()], "middle")
     banded = (
