@@ -7,6 +7,7 @@ pieces met first, up to a fixed number; what does not fit in it is encoded each
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 from collections.abc import Iterable, Iterator
@@ -17,8 +18,10 @@ import numpy as np
 #: Pieces whose ids a worker remembers, and the longest piece it remembers.
 CACHE = 600_000
 LONGEST = 40
+#: The pieces met first are the common ones; they have a small table of their own, which stays in the processor's cache.
+COMMON = 30_000
 #: Characters that are cut into pieces in one go.
-SECTION = 1 << 20
+SECTION = 1 << 19
 # A blank belongs to the word after it; of other white space before a word the last character stands alone.
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s")
 _CUT = re.compile(r"\S(?= \S)")
@@ -46,6 +49,7 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)
+        self.common: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
@@ -74,21 +78,37 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; the texts together should be some megabytes at most."""
+        # Long lists of strings come and go here without cycles; the collector would walk them again and again.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         cache, pieces, ends = self.cache, [], []
         for text in texts:
             if not any(c in text for c in _ODD):
                 pieces += _PIECES.findall(text)
             ends.append(len(pieces))
-        found = list(map(cache.get, pieces))
+        found = list(map(self.common.get, pieces))
         lacking = [i for i, f in enumerate(found) if f is None]
+        if cache:
+            for i in lacking:
+                found[i] = cache.get(pieces[i])
+            lacking = [i for i in lacking if found[i] is None]
         if lacking:
             new = list(dict.fromkeys([pieces[i] for i in lacking]))
             own = self._pieces(new)
             for i in lacking:
                 found[i] = own[pieces[i]]
-            room = CACHE - len(cache)
-            if room > 0:
-                cache.update((p, own[p]) for p in new[:room] if len(p) <= LONGEST)
+            for held, most in ((self.common, COMMON), (cache, CACHE)):
+                room = most - len(held)
+                if room > 0:
+                    held.update((p, own[p]) for p in new[:room] if len(p) <= LONGEST)
+                    new = new[room:]
         out, at = [], 0
         for text, end in zip(texts, ends, strict=True):
             if end == at and text:
