@@ -35,3 +35,12 @@ def test_full_report(spark, sf_dir):
     assert {r["national_avg"] for r in tables["toilet_admin3"].collect()} == {national}
     assert tables["toilet_districts"].columns[:2] == ["admin1", "admin2"]
     assert tables["water_gap"].filter("urban = 'urban'").count() > 0
+
+
+@pytest.mark.parametrize("name", ["map_table", "map_table_admin2", "case_rate_map", "priority_communes"])
+def test_no_vertex_is_shuffled(spark, sf_dir, name):
+    """Areas meet polygons, not vertices: nothing is exchanged or joined above the explode."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    explodes = [i for i, line in enumerate(plan) if "Generate posexplode" in line]
+    joins = [i for i, line in enumerate(plan) if "Join " in line]
+    assert explodes and joins and max(explodes) < min(joins)
