@@ -542,6 +542,27 @@ def reconcile_rules(spark, sf):
     return rounded(audit.reconcile(primary, second, "region"))
 
 
+def _reconcile_water(name: str, var: str) -> None:
+    @register(
+        name,
+        f"""SELECT d AS region, {sql.r('a.avg', 'avg_primary')}, {sql.r('a.se', 'se_primary')}, a."N" AS "N_primary",
+                   {sql.r('b.avg', 'avg_alternate')}, {sql.r('b.se', 'se_alternate')}, b."N" AS "N_alternate",
+                   {sql.r('a.avg - b.avg', 'difference')}
+            FROM (WITH {sql.indicators()} SELECT * FROM {sql.estimate('ind', var, 'region')}) a
+            FULL JOIN (WITH {_ALTERNATE} SELECT * FROM {sql.estimate('ind', var, 'region')}) b USING (d)""",
+    )
+    def query(spark, sf):
+        primary = point_estimate(sv.indicators(spark, sf), sv.DESIGN, var, "region")
+        hh = sanitation.sanitation_indicators(sv.households(spark, sf, HouseholdRules.alternate()), rules="alternate")
+        second = point_estimate(water.water_indicators(hh, rules="alternate"), sv.DESIGN, var, "region")
+        return rounded(audit.reconcile(primary, second, "region"))
+
+
+_reconcile_water("reconcile_improved_water", "improved_water")
+_reconcile_water("reconcile_water_under30min", "impr_water_under30min")
+_reconcile_water("reconcile_water_dhs", "impr_water_dhs")
+
+
 @register(
     "share_of_total",
     f"WITH {sql.indicators()}, c AS (SELECT toilet_type, improved_toilet, count(*) AS n FROM ind GROUP BY 1, 2) "
