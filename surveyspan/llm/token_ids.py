@@ -1,32 +1,40 @@
-"""Token ids of whole texts with the tokenizers library, a word cache in front.
+"""Token ids of whole texts with the tokenizers library, each distinct piece of text encoded once.
 
-The byte-level pre-tokenizer never joins text across the start of a blank-led word, so
-a text can be cut there and each distinct piece encoded once per worker. The cache keeps the ids of the
-pieces met first, up to a fixed number; what does not fit in it is encoded each time it comes.
+The byte-level pre-tokenizer never joins text across the start of a blank-led word, nor an ASCII letter with the ASCII
+punctuation after it. A group of texts is cut at those places with a few numpy operations on its bytes, Arrow numbers the
+distinct pieces, the tokenizer sees each of them once, and the ids are gathered back by number. A worker keeps the ids of the
+pieces met first, up to a fixed number; what does not fit is encoded once in each group that holds it. A tokenizer
+of another kind gets its texts whole.
 """
 
 from __future__ import annotations
 
-import gc
+import json
 import re
 import sys
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
-#: Pieces whose ids a worker remembers, and the longest piece it remembers.
+#: Pieces whose ids a worker remembers, and the longest piece (in bytes) it remembers.
 CACHE = 600_000
 LONGEST = 40
-#: The pieces met first are the common ones; they have a small table of their own, which stays in the processor's cache.
-COMMON = 30_000
-#: Characters that are cut into pieces in one go.
-SECTION = 1 << 19
+#: Characters that are worked on in one go.
+SECTION = 1 << 22
 # A blank belongs to the word after it; of other white space before a word the last character stands alone.
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s")
 _CUT = re.compile(r"\S(?= \S)")
 # White space to Python but not to the tokenizer.
-_ODD = "\x1c\x1d\x1e\x1f"
+_ODD = re.compile("[\x1c-\x1f]")
+# White space beyond ASCII.
+_RARE = re.compile(r"[^\S\x00-\x7f]")
+_SPACE, _LETTER, _MARK = 1, 2, 4
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[list(b" \t\n\v\f\r")] = _SPACE
+_CLASS[list(range(ord("A"), ord("Z") + 1)) + list(range(ord("a"), ord("z") + 1))] = _LETTER
+_CLASS[[c for c in range(33, 127) if not chr(c).isalnum()]] = _MARK
 
 
 def default_tokenizer() -> str:
@@ -35,6 +43,31 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _starts(texts: list[str], data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Positions in the bytes of all texts where a piece begins."""
+    kind = _CLASS[data]
+    space = kind == _SPACE
+    start = np.zeros(len(data), bool)
+    before = space[:-1]
+    # a word after white space other than a blank, and the first of a run of white space
+    start[1:] = (space[1:] != before) & (space[1:] | (data[:-1] != 32))
+    # the last of a run that a word follows
+    last = np.zeros(len(data), bool)
+    last[:-1] = space[:-1] & ~space[1:]
+    last[end[end > begin] - 1] = False
+    start[1:] |= last[1:] & before
+    start[1:] |= (kind[1:] == _MARK) & (kind[:-1] == _LETTER)
+    for i, text in enumerate(texts):
+        if not text.isascii() and _RARE.search(text):
+            a, b = begin[i], end[i]
+            start[a:b] = False
+            if not _ODD.search(text):
+                sizes = np.array([len(p.encode()) for p in _PIECES.findall(text)])
+                start[a + np.cumsum(sizes) - sizes] = True
+    start[begin[end > begin]] = True
+    return np.flatnonzero(start)
+
+
 class Encoder:
     """Texts to little-endian ids. The tokenizer and the cache live as long as the worker."""
 
@@ -45,78 +78,82 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        first = parts["pre_tokenizer"] or {}
+        self.cuttable = (
+            parts["normalizer"] is None
+            and (first.get("type"), first.get("use_regex", True), first.get("add_prefix_space")) == ("ByteLevel", True, False)
+        )
         # byte-level vocabularies spell each byte as one character
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)
-        self.common: dict[str, bytes] = {}
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of distinct pieces; those led by a blank are encoded in one string and cut apart by byte counts."""
-        led = [p for p in pieces if len(p) > 1 and p[0] == " "]
-        bare = [p for p in pieces if len(p) == 1 or p[0] != " "]
+    def _pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct pieces; words led by a blank are encoded in one string and cut apart by byte counts."""
+        led, bare, done = [], [], {}
+        for p in pieces:
+            word = p.startswith(b" ") and p[1:].decode()
+            (led if word and word.split() == [word] else bare).append(p)
         if led:
-            flat = self._ids("".join(led))
+            flat = self._ids(b"".join(led).decode())
             ends = np.cumsum(self.bytes_of[flat])
-            want = np.cumsum([len(p.encode()) for p in led])
+            want = np.cumsum([len(p) for p in led])
             cuts = np.searchsorted(ends, want) + 1
             if cuts[-1] == len(flat) and np.array_equal(ends[cuts - 1], want):
                 raw, width = flat.tobytes(), self.kind.itemsize
                 stops = (cuts * width).tolist()
                 done = {p: raw[a:b] for p, a, b in zip(led, [0, *stops[:-1]], stops, strict=True)}
-            else:  # not a byte-level vocabulary
-                done, bare = {}, pieces
-        else:
-            done = {}
-        found = self.tokenizer.encode_batch_fast(bare, add_special_tokens=False) if bare else []
+            else:
+                bare += led
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in bare], add_special_tokens=False) if bare else []
         done.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(bare, found, strict=True))
         return done
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; the texts together should be some megabytes at most."""
-        # Long lists of strings come and go here without cycles; the collector would walk them again and again.
-        collecting = gc.isenabled()
-        gc.disable()
-        try:
-            return self._encode(texts)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        cache, pieces, ends = self.cache, [], []
-        for text in texts:
-            if not any(c in text for c in _ODD):
-                pieces += _PIECES.findall(text)
-            ends.append(len(pieces))
-        found = list(map(self.common.get, pieces))
+    def _known(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces in turn."""
+        found = list(map(self.cache.get, pieces))
         lacking = [i for i, f in enumerate(found) if f is None]
-        if cache:
-            for i in lacking:
-                found[i] = cache.get(pieces[i])
-            lacking = [i for i in lacking if found[i] is None]
         if lacking:
-            new = list(dict.fromkeys([pieces[i] for i in lacking]))
-            own = self._pieces(new)
+            own = self._pieces([pieces[i] for i in lacking])
             for i in lacking:
                 found[i] = own[pieces[i]]
-            for held, most in ((self.common, COMMON), (cache, CACHE)):
-                room = most - len(held)
-                if room > 0:
-                    held.update((p, own[p]) for p in new[:room] if len(p) <= LONGEST)
-                    new = new[room:]
-        out, at = [], 0
-        for text, end in zip(texts, ends, strict=True):
-            if end == at and text:
-                out.append(self._ids(text))
-            else:
-                out.append(np.frombuffer(b"".join(found[at:end]), self.kind))
-            at = end
-        return out
+            room = CACHE - len(self.cache)
+            if room > 0:
+                self.cache.update((pieces[i], found[i]) for i in lacking[:room] if len(pieces[i]) <= LONGEST)
+        return found
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; the texts together should be some megabytes at most."""
+        if not self.cuttable:
+            return [self._ids(t) for t in texts]
+        raw = [t.encode() for t in texts]
+        sizes = np.array([len(r) for r in raw], np.int64)
+        end = np.cumsum(sizes)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        if not len(data):
+            return [np.zeros(0, self.kind) for _ in texts]
+        starts = _starts(texts, data, end - sizes, end)
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        numbered = pieces.dictionary_encode()
+        found = self._known(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        flat = np.frombuffer(b"".join(found), self.kind)
+        length = np.fromiter(map(len, found), np.int32, len(found)) // self.kind.itemsize
+        first = np.cumsum(length) - length
+        code = numbered.indices.to_numpy()
+        own = length[code]
+        upto = np.cumsum(own)
+        at = np.repeat((first[code] - upto + own).astype(np.int32), own)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = flat[at]
+        stops = np.append(0, upto)[np.searchsorted(starts, end)].tolist()
+        return [ids[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
 
 def sections(text: str) -> list[str]:
@@ -133,19 +170,19 @@ def sections(text: str) -> list[str]:
 
 def encoded(texts: Iterable[str], path: str) -> Iterator[np.ndarray]:
     """Ids of each text in turn, worked on in groups of about ``SECTION`` characters."""
-    encode, group, size = encoder(path).encode, [], 0
+    worker, group, size = encoder(path), [], 0
     for text in texts:
-        if len(text) > SECTION:
-            yield from encode(group)
+        if len(text) > SECTION and worker.cuttable:
+            yield from worker.encode(group)
             group, size = [], 0
-            yield np.concatenate([encode([part])[0] for part in sections(text)])
+            yield np.concatenate([worker.encode([part])[0] for part in sections(text)])
             continue
         group.append(text)
         size += len(text)
         if size > SECTION:
-            yield from encode(group)
+            yield from worker.encode(group)
             group, size = [], 0
-    yield from encode(group)
+    yield from worker.encode(group)
 
 
 @lru_cache(maxsize=2)
