@@ -32,6 +32,18 @@ def test_long_texts_are_cut_where_no_token_is(monkeypatch):
     assert got == [ids[:-1] for ids in brute.token_ids(texts, 0)]
 
 
+def test_a_tokenizer_of_another_kind_gets_whole_texts():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    other = path("word_bpe_49k.json")
+    texts = ["one two, three's (four)\n\n  five.Six\xa0 7", "", "été 漢字 \x1c\x1d\xa0x. 12,345 don't  "]
+    plain = Tokenizer.from_file(other)
+    plain.encode_special_tokens = True
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in token_ids.encoded(texts, other)] == want
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 900), st.sampled_from([2, 300, 65536]), st.integers(1, 200), st.integers(0, 99))
 def test_coder_round_trip(n, kinds, block, seed):
