@@ -7,9 +7,13 @@ templates alone. A part of the variations sets the temperature and the
 probability below which a paragraph stays unknown.
 
 Applying it is one projection of DataFrame functions per document, with no shuffle and no
-Python: the text is split into lines, lines with a licence word are candidates, the
-weights of a candidate's n-grams are added up from a literal map, and the winning family is reported
-only if the candidate also shares enough word pairs with one of its templates.
+Python. The text is split into paragraphs, runs of lines that hold a letter or digit, and those with a licence
+word, also across a line break, are looked at: each line with such a word by itself, then the windows of neighbouring lines
+that hold one (as long as the lines between the first and the last have no more words than the longest template, so
+any wrapped notice lies in a window) and the whole paragraph. The weights of a unit's n-grams are added up from a literal map, and
+the winning family is reported only if the unit also shares enough word pairs with one of its templates. Of
+overlapping units the one with the largest share counts, then the shortest, then the first. Windows are left out only where no
+outcome depends on them: in paragraphs whose pairs, all together, confirm nothing, and over lines that hold a whole template.
 
 Defined cases: a NULL or empty text has no candidates; a text of any length is scanned
 whole; repeated rows are reported each; an empty table gives no rows; further columns are ignored.
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -100,6 +105,8 @@ COUNTEREXAMPLES = (
 )
 #: A line without any of these words is no candidate.
 ANCHOR = r"(?i)licen[cs]e|copyright|permission|redistribut|public domain|creative commons|rights reserved|proprietary|spdx|\bgpl\b|\bcc0\b"
+#: The same for a paragraph, whose line breaks and comment signs may lie inside.
+ANCHOR_WRAPPED = ANCHOR.replace(" ", r"[^a-zA-Z0-9]+")
 WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 UNKNOWN = "unknown"
 CONFIRM = 0.5
@@ -204,66 +211,196 @@ def _pairs(text: str) -> list[str]:
 
 
 def paragraph_matches(text: Column, model: Model) -> Column:
-    """Array of (line, family, probability, coverage) for the candidate lines of a text."""
-    n = len(model.families)
+    """Array of (line, family, probability, coverage): the notices of a text by their first line, and the candidate lines outside of them."""
     weights = _literal(model.weights, "map<string,array<double>>")
+    vocabulary = _literal(sorted(model.weights), "array<string>")
     bias = F.array(*[F.lit(float(v)) for v in model.bias])
     names = F.array(*[F.lit(f) for f in model.families])
-    templates = _literal(
-        {f: [_pairs(t) for t in ts if _pairs(t)] for f, ts in TEMPLATES.items()}, "map<string,array<array<string>>>"
-    )
-    lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("line"), line.alias("text")))
-    candidates = F.filter(lines, lambda c: F.regexp_like(c["text"], F.lit(ANCHOR)))
-
-    def with_grams(c: Column) -> Column:
-        w = F.regexp_extract_all(F.lower(c["text"]), F.lit(f"({WORD})"), 1)
-        pairs = F.transform(
-            F.filter(F.transform(w, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["i"] > 0),
-            lambda s: F.concat(F.get(w, s["i"] - 1), F.lit(" "), s["x"]),
+    pairs_of = {f: [_pairs(t) for t in ts if _pairs(t)] for f, ts in TEMPLATES.items()}
+    templates = _literal(pairs_of, "map<string,array<array<string>>>")
+    every = _literal([t for ts in pairs_of.values() for t in ts], "array<array<string>>")
+    longest = F.lit(max(len(words(t)) for ts in TEMPLATES.values() for t in ts))
+
+    def largest_share(of: Column, pairs: Column) -> Column:
+        return F.coalesce(F.array_max(F.transform(of, lambda t: F.size(F.array_intersect(t, pairs)) / F.size(t))), F.lit(0.0))
+
+    def with_grams(first: Column, last: Column, w: Column) -> Column:
+        """A unit: the lines from first to last with these words."""
+        pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
+        return F.struct(
+            first.alias("first"),
+            last.alias("last"),
+            F.array_distinct(w).alias("words"),
+            F.array_distinct(F.filter(pairs, lambda x: x.isNotNull())).alias("pairs"),
         )
-        return F.struct(c["line"].alias("line"), F.array_distinct(w).alias("words"), F.array_distinct(pairs).alias("pairs"))
 
     def scored(c: Column) -> Column:
-        vectors = F.filter(
-            F.transform(F.concat(c["words"], c["pairs"]), lambda g: F.try_element_at(weights, g)), lambda v: v.isNotNull()
-        )
+        known = F.array_intersect(F.concat(c["words"], c["pairs"]), vocabulary)
+        vectors = F.transform(known, lambda g: F.try_element_at(weights, g))
         z = F.aggregate(vectors, bias, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
-        return F.struct(c["line"].alias("line"), c["pairs"].alias("pairs"), z.alias("z"))
+        return F.struct(c["first"].alias("first"), c["last"].alias("last"), c["pairs"].alias("pairs"), z.alias("z"))
 
     def decided(c: Column) -> Column:
         top = F.array_max(c["z"])
         total = F.aggregate(c["z"], F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
         best = F.get(names, (F.array_position(c["z"], top) - 1).cast("int"))
         return F.struct(
-            c["line"].alias("line"), c["pairs"].alias("pairs"), best.alias("family"), (F.lit(1.0) / total).alias("p")
+            c["first"].alias("first"),
+            c["last"].alias("last"),
+            c["pairs"].alias("pairs"),
+            best.alias("family"),
+            (F.lit(1.0) / total).alias("p"),
         )
 
     def compared(c: Column) -> Column:
-        shares = F.transform(
-            F.coalesce(F.try_element_at(templates, c["family"]), F.array()),
-            lambda t: F.size(F.array_intersect(t, c["pairs"])) / F.size(t),
-        )
-        coverage = F.coalesce(F.array_max(shares), F.lit(0.0))
+        coverage = largest_share(F.coalesce(F.try_element_at(templates, c["family"]), F.array()), c["pairs"])
         sure = (c["p"] >= F.lit(model.threshold)) & (coverage >= F.lit(CONFIRM))
+        # in the order in which overlapping units are preferred
         return F.struct(
-            c["line"].alias("line"),
+            (-coverage).alias("rank"),
+            (c["last"] - c["first"]).alias("more"),
+            c["first"].alias("first"),
+            c["last"].alias("last"),
             F.when(sure & (c["family"] != UNKNOWN), c["family"]).otherwise(F.lit(UNKNOWN)).alias("family"),
             F.round(c["p"], 4).alias("probability"),
             F.round(coverage, 4).alias("coverage"),
         )
 
-    assert n == len(model.bias)
-    found = F.transform(candidates, with_grams)
-    for step in (scored, decided, compared):
+    def classified(units: Column) -> Column:
+        for step in (scored, decided, compared):
+            units = F.transform(units, step)
+        return units
+
+    def held(lines: Column, at: Column, n: Column, what: Callable[[Column], Column]) -> Column:
+        return F.exists(F.slice(lines, at + 1, n), what)
+
+    def is_whole(unit: Column) -> Column:
+        return (unit["family"] != UNKNOWN) & (unit["rank"] == -1.0)
+
+    # paragraphs: (first line, lines)
+    lines = F.split(text, "\n")
+    blanks = F.filter(
+        F.transform(lines, lambda x, i: F.when(~F.regexp_like(x, F.lit("[A-Za-z0-9]")), i)), lambda i: i.isNotNull()
+    )
+    starts = F.transform(F.concat(F.array(F.lit(-1)), blanks), lambda i: i + 1)
+    ends = F.concat(blanks, F.array(F.size(lines)))
+    paragraphs = F.zip_with(
+        starts, ends, lambda a, b: F.struct(a.alias("first"), F.slice(lines, a + 1, F.greatest(b - a, F.lit(0))).alias("lines"))
+    )
+    paragraphs = F.filter(paragraphs, lambda p: F.regexp_like(F.array_join(p["lines"], "\n"), F.lit(ANCHOR_WRAPPED)))
+
+    def with_words(p: Column) -> Column:
+        own = p["lines"]
+        across = F.transform(
+            own,
+            lambda x, i: F.struct(
+                F.regexp_extract_all(F.lower(x), F.lit(f"({WORD})"), 1).alias("words"),
+                F.regexp_like(x, F.lit(ANCHOR)).alias("anchor"),
+                # a phrase that begins here and ends in the next line
+                F.regexp_like(F.concat_ws("\n", x, F.get(own, i + 1)), F.lit(ANCHOR_WRAPPED)).alias("marked"),
+            ),
+        )
+        return F.struct(p["first"].alias("first"), across.alias("lines"))
+
+    def with_singles(p: Column) -> Column:
+        units = F.transform(p["lines"], lambda x, i: F.when(x["anchor"], with_grams(i, i, x["words"])))
+        together = with_grams(F.lit(0), F.size(p["lines"]) - 1, F.flatten(F.transform(p["lines"], lambda x: x["words"])))
+        singles = classified(F.filter(units, lambda u: u.isNotNull()))
+        return F.struct(
+            p["first"].alias("first"),
+            p["lines"].alias("lines"),
+            together.alias("together"),
+            (largest_share(every, together["pairs"]) >= F.lit(CONFIRM)).alias("likely"),
+            singles.alias("singles"),
+            F.transform(F.filter(singles, is_whole), lambda u: u["first"]).alias("whole"),
+        )
+
+    def with_windows(p: Column) -> Column:
+        # per line: is it free, i.e. not a whole template by itself
+        n = F.size(p["lines"])
+        own = F.transform(
+            p["lines"],
+            lambda x, i: F.struct(
+                x["words"].alias("words"),
+                F.size(x["words"]).alias("n"),
+                x["marked"].alias("marked"),
+                (~x["anchor"] | ~F.array_contains(p["whole"], i)).alias("free"),
+            ),
+        )
+
+        def reach(at: Column) -> Column:
+            """Lines that windows from this one may hold."""
+            none = F.struct(F.lit(0).alias("inside"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+            def more(acc: Column, x: Column) -> Column:
+                go = acc["open"] & x["free"] & (acc["inside"] <= longest)
+                return F.struct(
+                    F.when(go & (acc["n"] > 0), acc["inside"] + x["n"]).otherwise(acc["inside"]).alias("inside"),
+                    F.when(go, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
+                    go.alias("open"),
+                )
+
+            return F.aggregate(F.slice(own, at + 1, longest + 2), none, more, lambda acc: acc["n"])
+
+        def from_line(at: Column, k: Column) -> Column:
+            sizes = F.when(k >= 2, F.sequence(F.lit(2), F.greatest(k, F.lit(2)))).otherwise(F.array().cast("array<int>"))
+            # the mark of a phrase over the break counts if its second line is in the window, too
+            sizes = F.filter(sizes, lambda m: held(own, at, m, lambda x: x["marked"]))
+            return F.transform(
+                sizes, lambda m: with_grams(at, at + m - 1, F.flatten(F.transform(F.slice(own, at + 1, m), lambda x: x["words"])))
+            )
+
+        near = F.filter(
+            F.transform(own, lambda x, i: F.struct(i.alias("at"), F.when(held(own, i, longest + 2, lambda y: y["marked"]), reach(i)).otherwise(0).alias("k"))),
+            lambda s: s["k"] >= 2,
+        )
+        windows = F.flatten(F.transform(near, lambda s: from_line(s["at"], s["k"])))
+        entire = F.when((n > 1) & (F.size(p["whole"]) == 0), F.array(p["together"]))
+        windows = F.concat(windows, F.coalesce(entire, F.slice(windows, 1, 0)))
+        windows = F.when(p["likely"] & (n > 1), windows).otherwise(F.slice(F.array(p["together"]), 1, 0))
+        windows = F.filter(windows, lambda u: largest_share(every, u["pairs"]) >= F.lit(CONFIRM))
+        return F.struct(p["first"].alias("first"), p["singles"].alias("singles"), classified(windows).alias("windows"))
+
+    def overlap(units: Column, u: Column) -> Column:
+        return F.exists(units, lambda k: (k["first"] <= u["last"]) & (u["first"] <= k["last"]))
+
+    def settled(p: Column) -> Column:
+        sure = F.filter(F.concat(p["singles"], p["windows"]), lambda u: (u["family"] != UNKNOWN) & ~is_whole_line(u))
+        kept = F.aggregate(
+            F.array_sort(sure),
+            F.slice(sure, 1, 0),
+            lambda acc, u: F.when(overlap(acc, u), acc).otherwise(F.concat(acc, F.array(u))),
+        )
+        whole = F.filter(p["singles"], is_whole)
+        return F.struct(p["first"].alias("first"), p["singles"].alias("singles"), whole.alias("whole"), kept.alias("kept"))
+
+    def is_whole_line(unit: Column) -> Column:
+        return is_whole(unit) & (unit["more"] == 0)
+
+    def reported(p: Column) -> Column:
+        rest = F.filter(p["singles"], lambda u: ~is_whole(u) & ~overlap(p["kept"], u))
+        units = F.concat(p["whole"], p["kept"], rest)
+        return F.transform(
+            units,
+            lambda u: F.struct(
+                (p["first"] + u["first"]).alias("line"),
+                u["family"].alias("family"),
+                u["probability"].alias("probability"),
+                u["coverage"].alias("coverage"),
+            ),
+        )
+
+    found = paragraphs
+    for step in (with_words, with_singles, with_windows, settled, reported):
         found = F.transform(found, step)
-    return found
+    return F.array_sort(F.flatten(found))
 
 
 def scan_licenses(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Per document: ``doc_id, n_candidates, n_confirmed, families, matches``.
 
-    ``families`` lists the confirmed families in order, ``matches`` is
-    ``family:line`` for each confirmed line (lines counted from 0).
+    ``n_candidates`` counts the notices and the lines with a licence word outside of them, ``families`` lists the confirmed
+    families in order, ``matches`` is ``family:line`` for each notice by its first line (lines counted from 0).
     """
     model = train() if model is None else model
     found = docs.select("doc_id", paragraph_matches(text_of(), model).alias("_m"))
