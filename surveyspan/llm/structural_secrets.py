@@ -5,12 +5,16 @@ hex) are decoded and reported only if what comes out has the structure of a secr
 
 * ``jwt``: a dotted token whose first part decodes to a JSON object that names an algorithm
   and whose second part decodes to a JSON object;
-* ``pem``: the body between private-key markers decodes to a key encoding;
-* ``key``: a bare base64 or hex run decodes to a key encoding.
+* ``pem``: the body between private-key markers decodes to a key encoding, or its headers say that it is encrypted;
+* ``key``: base64 or hex decodes to a key encoding, or to text that holds one in turn.
 
 A key encoding is a DER sequence whose lengths nest exactly and that holds a private-key layout
-(version, then integers, an octet string, or an algorithm sequence and an octet string), or
-OpenSSH's format, a magic string followed by length-prefixed fields.
+(version, then integers, an octet string, or an algorithm sequence and an octet string; or, encrypted, an algorithm sequence
+and an octet string alone), or OpenSSH's format, a magic string followed by length-prefixed fields.
+
+Candidates are looked for in the text without its line breaks, real or written as backslash and letter, so wrapped and
+escaped keys are whole. A key may start anywhere in a run: every place whose first bytes read as the head of a key
+is decoded as far as its own length goes.
 
 Spans are code-point positions, end exclusive. Defined cases: a NULL or empty text has no
 spans; a text of any length is scanned whole; repeated rows are reported each; an empty
@@ -24,6 +28,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,13 +50,27 @@ _ASSIGN_LEAST = 8
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-_ANY_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
+_CHAIN = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+\.?")
+_PART = re.compile(r"[A-Za-z0-9_-]{14}[A-Za-z0-9_-]*\.[A-Za-z0-9_-]{3}")
+# First characters of base64 that decodes to JSON's white space or an opening brace.
+_OPENS = re.compile(r"(?=e[w-z0-9_-]|I[A-P]|C[Q-Za-v]|D[Q-Za-f])")
+_PEM = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----")
+_PEM_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:")
+# Line breaks with the blanks around them, and the backslash of an escaped slash.
+_BREAK = re.compile(r"(?<![ \t])[ \t]++(?=[\r\n])|(?<!\\)\\++(?:[rn][ \t]*+|(?=/))|[\r\n]++[ \t]*+")
+_ESCAPED = re.compile(r"(?<!\\)\\++[rn]")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]+")
+_LONG_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{64,}={0,2}")
+_ANY_HEX = re.compile(r"[0-9A-Fa-f]+")
+_LONG_HEX = re.compile(r"[0-9A-Fa-f]{96,}")
+# A DER sequence is 0x30 and a length: M and A to I (short or up to four bytes) in base64.
+_BASE64_HEAD = re.compile(r"M(?=[A-I][A-Za-z0-9+/_-]{14})")
+_HEX_HEAD = re.compile(r"30(?=(?:[0-7][0-9A-Fa-f]|8[1-4])[0-9A-Fa-f]{28})")
 _OPENSSH = b"openssh-key-v1\x00"
+_OPENSSH_BASE64 = base64.b64encode(_OPENSSH).decode()
+_OPENSSH_HEX = re.compile(_OPENSSH.hex(), re.IGNORECASE)
 
-_SEQUENCE, _INTEGER, _OCTETS = 0x30, 0x02, 0x04
+_SEQUENCE, _INTEGER, _OCTETS, _OBJECT = 0x30, 0x02, 0x04, 0x06
 
 
 def _der_items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
@@ -91,6 +110,47 @@ def _is_der_key(data: bytes) -> bool:
     return False
 
 
+def _is_encrypted_key(data: bytes) -> bool:
+    """PKCS#8 under a password: an algorithm with parameters, then an octet string of whole cipher blocks."""
+    whole = _der_items(data, 0, len(data))
+    if whole is None or len(whole) != 1 or whole[0][0] != _SEQUENCE:
+        return False
+    parts = _der_items(data, whole[0][1], whole[0][2])
+    if not parts or [tag for tag, _, _ in parts] != [_SEQUENCE, _OCTETS] or parts[1][2] - parts[1][1] < 16:
+        return False
+    algorithm = _der_items(data, parts[0][1], parts[0][2])
+    return algorithm is not None and [tag for tag, _, _ in algorithm] == [_OBJECT, _SEQUENCE]
+
+
+def _der_size(head: bytes) -> int:
+    """Size of the sequence that these first bytes may begin, 0 if they begin no key."""
+    if len(head) < 9 or head[0] != _SEQUENCE:
+        return 0
+    at, length = 2, head[1]
+    if length & 0x80:
+        width = length & 0x7F
+        if not 1 <= width <= 4:
+            return 0
+        at, length = 2 + width, int.from_bytes(head[2 : 2 + width], "big")
+    if head[at : at + 2] != b"\x02\x01" and head[at] != _SEQUENCE:
+        return 0
+    return at + length
+
+
+def _openssh_size(data: bytes) -> int:
+    """Size of the key at the start of the data, all of it where the parts after the options do not fit."""
+    at, fields, count = len(_OPENSSH), 0, 3
+    while fields < count:
+        if at + 4 > len(data):
+            return len(data)
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        fields += 1
+        if fields == 3 and at + 4 <= len(data):  # the number of public keys, those, and the private part
+            count = 3 + min(int.from_bytes(data[at : at + 4], "big"), 1 << 10) + 1
+            at += 4
+    return at if at <= len(data) else len(data)
+
+
 def _is_openssh_key(data: bytes) -> bool:
     if not data.startswith(_OPENSSH):
         return False
@@ -102,7 +162,7 @@ def _is_openssh_key(data: bytes) -> bool:
 
 
 def _is_key(data: bytes | None) -> bool:
-    return data is not None and (_is_der_key(data) or _is_openssh_key(data))
+    return data is not None and (_is_der_key(data) or _is_encrypted_key(data) or _is_openssh_key(data))
 
 
 def _unbase64(text: str) -> bytes | None:
@@ -122,31 +182,151 @@ def _is_json_object(part: str, *needed: str) -> bool:
     return isinstance(value, dict) and all(isinstance(value.get(n), str) for n in needed)
 
 
+def _tokens(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, start of the signature, end) of signed tokens, also behind other dotted or glued words."""
+    if not _PART.search(text):
+        return
+    for m in _CHAIN.finditer(text):
+        if not _PART.search(m.group()):
+            continue
+        parts, at = m.group().split("."), m.start()
+        for k, head in enumerate(parts[:-2]):
+            if len(head) >= 14 and _is_json_object(parts[k + 1]):
+                for o in _OPENS.finditer(head):
+                    first = _unbase64(head[o.start() : o.start() + 4])
+                    if first and first.lstrip()[:1] in (b"{", b"") and _is_json_object(head[o.start() :], "alg"):
+                        body = at + len(head) + 1 + len(parts[k + 1]) + 1
+                        yield at + o.start(), body, body + len(parts[k + 2])
+                        break
+            at += len(head) + 1
+
+
+def _pem_holds_key(body: str) -> bool:
+    lines = [x.strip() for x in _ESCAPED.sub("\n", body).splitlines()]
+    while lines and not lines[0]:
+        del lines[0]
+    headers = []
+    if lines and _PEM_HEADER.match(lines[0]):
+        cut = lines.index("") if "" in lines else max(i for i, x in enumerate(lines) if ":" in x) + 1
+        headers, lines = lines[:cut], lines[cut:]
+    data = _unbase64("".join(lines).replace("\\", ""))
+    if any(h.startswith("Proc-Type:") and h.endswith("ENCRYPTED") for h in headers):
+        return data is not None and len(data) >= 16
+    return _is_key(data)
+
+
+def _pems(text: str) -> Iterator[tuple[int, int]]:
+    for m in _PEM.finditer(text):
+        end = f"-----END {m.group(1)}PRIVATE KEY-----"
+        stop = text.find("-----", m.end())
+        if stop >= 0 and text.startswith(end, stop) and _pem_holds_key(text[m.end() : stop]):
+            yield m.start(), stop + len(end)
+
+
+def _keys(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of base64 and hex key encodings in a text without line breaks."""
+    for m in _BASE64_HEAD.finditer(text):
+        at = m.start()
+        size = _der_size(_unbase64(text[at : at + 16]) or b"")
+        chars = -(-size * 4 // 3)
+        if size and at + chars <= len(text):
+            # the last character may belong to a byte after the key
+            data = _unbase64(text[at : at + -(-size // 3) * 4]) or _unbase64(text[at : at + chars])
+            if data is not None and _is_key(data[:size]):
+                yield at, _padded(text, at + chars)
+    at = text.find(_OPENSSH_BASE64)
+    while at >= 0:
+        run = _BASE64.match(text, at).group()
+        data = _unbase64(run if len(run) % 4 != 1 else run[:-1])
+        if data is not None and _is_openssh_key(data):
+            yield at, _padded(text, at + min(len(run), -(-_openssh_size(data) * 4 // 3)))
+        at = text.find(_OPENSSH_BASE64, at + 1)
+    for m in _HEX_HEAD.finditer(text):
+        size = _der_size(bytes.fromhex(text[m.start() : m.start() + 32]))
+        run = text[m.start() : m.start() + 2 * size]
+        if size and len(run) == 2 * size and _ANY_HEX.fullmatch(run) and _is_key(bytes.fromhex(run)):
+            yield m.start(), m.start() + 2 * size
+    for m in _OPENSSH_HEX.finditer(text):
+        run = _ANY_HEX.match(text, m.start()).group()
+        data = bytes.fromhex(run[: len(run) // 2 * 2])
+        if _is_openssh_key(data):
+            yield m.start(), m.start() + 2 * _openssh_size(data)
+
+
+def _padded(text: str, end: int) -> int:
+    for _ in range(2):
+        end += text.startswith("=", end)
+    return end
+
+
+def _nested(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of runs that decode to text with a key or a PEM block in it."""
+    for m in _LONG_BASE64.finditer(text):
+        run = m.group().rstrip("=")
+        for shift in range(4):
+            part = run[shift:]
+            if _holds_key(_unbase64(part if len(part) % 4 != 1 else part[:-1])):
+                yield m.span()
+                break
+    for m in _LONG_HEX.finditer(text):
+        run = m.group()
+        if any(_holds_key(bytes.fromhex(run[k : k + (len(run) - k) // 2 * 2])) for k in (0, 1)):
+            yield m.span()
+
+
+def _holds_key(data: bytes | None) -> bool:
+    if data is None:
+        return False
+    inner = data.decode("latin-1")
+    return any(True for _ in _pems(inner)) or any(True for _ in _keys(_BREAK.sub("", inner)))
+
+
+class _Unbroken:
+    """A text without its line breaks, and where its places lie in the text."""
+
+    def __init__(self, text: str) -> None:
+        self.cuts, self.gone = [], []
+        parts, at, kept, gone = [], 0, 0, 0
+        for m in _BREAK.finditer(text):
+            a, b = m.span()
+            parts.append(text[at:a])
+            kept, gone, at = kept + a - at, gone + b - a, b
+            self.cuts.append(kept)
+            self.gone.append(gone)
+        parts.append(text[at:])
+        self.text = "".join(parts)
+
+    def place(self, i: int) -> int:
+        k = bisect_right(self.cuts, i)
+        return i + (self.gone[k - 1] if k else 0)
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        return self.place(start), self.place(end - 1) + 1
+
+
 def find_secrets(text: str | None) -> list[tuple[int, str, int]]:
     """(start, kind, end) of every span, by start, then kind as listed."""
     text = text or ""
     found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= _ASSIGN_LEAST]
     found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    if "eyJ" in text:
-        for m in _JWT.finditer(text):
-            head, body, _ = m.group().split(".")
-            if _is_json_object(head, "alg") and _is_json_object(body):
-                found.append((m.start(), 3, m.end()))
-    blocks = []
-    if "PRIVATE KEY-----" in text:
-        for m in _PEM.finditer(text):
-            if _is_key(_unbase64(m.group(2))):
-                found.append((m.start(), 4, m.end()))
-                blocks.append(m.span())
-    for m in _BASE64.finditer(text):
-        # a DER sequence starts with 0x30 and OpenSSH's magic with 'o': M or b in base64
-        if m.group()[0] in "Mb" and not any(a <= m.start() < b for a, b in blocks) and _is_key(_unbase64(m.group())):
-            found.append((m.start(), 5, m.end()))
-    for m in _ANY_HEX.finditer(text):
-        run = m.group()
-        if run.startswith("30") and len(run) % 2 == 0 and _is_key(bytes.fromhex(run)):
-            found.append((m.start(), 5, m.end()))
+    unbroken = _Unbroken(text)
+    tokens = {a: b for a, _, b in _tokens(text)}
+    if unbroken.cuts:
+        for a, signature, b in _tokens(unbroken.text):
+            start, last = unbroken.span(a, signature)
+            # a token over a line break; one that was found in the text itself keeps its end
+            if last - start > signature - a and start not in tokens:
+                tokens[start] = unbroken.span(a, b)[1]
+    found += [(a, 3, b) for a, b in tokens.items()]
+    blocks = list(_pems(text)) if "PRIVATE KEY-----" in text else []
+    found += [(a, 4, b) for a, b in blocks]
+    direct = [unbroken.span(*s) for s in _keys(unbroken.text)]
+    direct = [s for s in direct if not any(a <= s[0] < b for a, b in blocks)]
+    nested = [unbroken.span(*s) for s in _nested(unbroken.text)]
+    # a run that holds a key as it stands is not reported again
+    nested = [s for s in nested if not any(a < s[1] and s[0] < b for a, b in [*blocks, *direct])]
+    found += [(a, 5, b) for a, b in direct + nested]
     return [(start, KINDS[kind], end) for start, kind, end in sorted(set(found))]
 
 
