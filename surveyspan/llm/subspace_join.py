@@ -12,14 +12,15 @@ in at least one block a close pair stays within that block's share of the square
   cosine in double precision over the whole vectors. A pair that several blocks find counts in the first one.
 
 A group returns sums and a spanning forest, one row per linked vector, never its pairs. Equal vectors are merged beforehand and
-counted with their multiplicity. The result is exact: no pair is lost.
+counted with their multiplicity. Vectors of each length are rotated, cut and joined among themselves, all lengths in the same
+steps. The result is exact: no pair is lost.
 
 Vectors without structure (independent directions in d dimensions) are the hard case of every exact
 method: a block's radius is then close to the spread of its coordinates, neighbouring cells hold most rows, and the
 work is that of a blocked matrix product over most pairs. Clustered vectors are cut apart by the leading axes.
 
-Defined cases: a vector that is NULL, zero, holds NULL or non-finite components or has another length than most is linked
-with nothing and is its own component; rows that repeat a vector are linked with one another; a NULL id never
+Defined cases: a vector that is NULL, zero, or holds NULL or non-finite components is linked
+with nothing and is its own component; vectors of different lengths are not linked; rows that repeat a vector are linked with one another; a NULL id never
 names a component with other ids; an empty table gives no rows; further columns are ignored.
 """
 
@@ -142,45 +143,67 @@ def _tiles(cell: int, chunk: int, chunks: dict[int, int]) -> list[tuple[int, int
     return own + up + down
 
 
-def _links(reps: DataFrame, width: int, threshold: float, chunk: int) -> DataFrame:
-    """``rid, root, links`` rows: partial sums of links and a spanning forest."""
-    total = reps.count()
+def _joins(reps: DataFrame, threshold: float) -> dict[int, PigeonholeJoin]:
+    """The join of each length that several vectors have."""
+    totals = {r["width"]: r["count"] for r in reps.groupBy("width").count().filter("count > 1").collect()}
+    if not totals:
+        return {}
     draw = F.pmod(F.xxhash64("rid", F.lit("rotation")), F.lit(1 << 20))
-    sample = reps.filter(draw < min(1.0, SAMPLE / max(1, total)) * (1 << 20)).select("embedding").toArrow()
-    vectors = _matrix(sample["embedding"], width) if sample.num_rows else np.eye(width)
-    join = PigeonholeJoin(_rotation(_unit(vectors)), threshold)
+    # the sample is shared out to the lengths; it decides on the speed only
+    each = SAMPLE / len(totals)
+    below = [(w, int(min(1.0, each / n) * (1 << 20))) for w, n in totals.items()]
+    shares = reps.sparkSession.createDataFrame(below, "_width int, _below int")
+    sampled = reps.join(F.broadcast(shares), F.col("width") == F.col("_width")).filter(draw < F.col("_below"))
+    sample = sampled.select("width", "embedding").toArrow()
+    widths = sample["width"].to_numpy()
+    joins = {}
+    for w in totals:
+        own = np.flatnonzero(widths == w)
+        vectors = _matrix(sample["embedding"].take(pa.array(own)), w) if len(own) else np.eye(w)
+        joins[w] = PigeonholeJoin(_rotation(_unit(vectors)), threshold)
+    return joins
+
+
+def _links(reps: DataFrame, threshold: float, chunk: int) -> DataFrame:
+    """``rid, root, links`` rows: partial sums of links and a spanning forest."""
+    joins = _joins(reps, threshold)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                cells = join.cells(_unit(_matrix(batch["embedding"], width)))
+            widths = batch["width"].to_numpy()
+            for w in np.unique(widths).tolist():
+                if w not in joins:  # the only vector of its length
+                    continue
+                part = batch.take(pa.array(np.flatnonzero(widths == w)))
+                cells = joins[w].cells(_unit(_matrix(part["embedding"], w)))
                 flat = pa.array(cells.ravel())
                 offsets = pa.array(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["rid"], batch["copies"], batch["embedding"], pa.ListArray.from_arrays(offsets, flat)],
-                    ["rid", "copies", "embedding", "cells"],
+                    [part["rid"], part["copies"], part["width"], part["embedding"], pa.ListArray.from_arrays(offsets, flat)],
+                    ["rid", "copies", "width", "embedding", "cells"],
                 )
 
-    schema = "rid long, copies long, embedding array<double>, cells array<int>"
-    cells = written(reps.select("rid", "copies", "embedding").mapInArrow(placed, schema), "vector-cells")
-    counted = cells.select(F.posexplode("cells").alias("b", "cell")).groupBy("b", "cell").count().collect()
-    chunks: list[dict[int, int]] = [{} for _ in join.used]
-    for r in counted:  # at most 2/radius + 2 rows per block
-        chunks[r["b"]][r["cell"]] = -(-r["count"] // chunk)
+    schema = "rid long, copies long, width int, embedding array<double>, cells array<int>"
+    cells = written(reps.select("rid", "copies", "width", "embedding").mapInArrow(placed, schema), "vector-cells")
+    counted = cells.select("width", F.posexplode("cells").alias("b", "cell")).groupBy("width", "b", "cell").count().collect()
+    chunks: dict[int, list[dict[int, int]]] = {w: [{} for _ in j.used] for w, j in joins.items()}
+    for r in counted:  # at most 2/radius + 2 rows per block of a length
+        chunks[r["width"]][r["b"]][r["cell"]] = -(-r["count"] // chunk)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["b", "c1", "k1", "c2", "k2", "rid", "copies", "right", "embedding"]
+        names = ["width", "b", "c1", "k1", "c2", "k2", "rid", "copies", "right", "embedding"]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 take, keys, rights = [], [], []
-                for i, (rid, own) in enumerate(zip(part["rid"].to_pylist(), part["cells"].to_pylist(), strict=True)):
+                columns = (part[c].to_pylist() for c in ("rid", "width", "cells"))
+                for i, (rid, w, own) in enumerate(zip(*columns, strict=True)):
                     mixed = (rid * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 32
                     for b, cell in enumerate(own):
-                        k = mixed % chunks[b][cell]
-                        for t in _tiles(cell, k, chunks[b]):
+                        k = mixed % chunks[w][b][cell]
+                        for t in _tiles(cell, k, chunks[w][b]):
                             take.append(i)
-                            keys.append((b, *t))
+                            keys.append((w, b, *t))
                             rights.append((cell, k) != t[:2])
                 columns = [pa.array(c, pa.int32()) for c in zip(*keys, strict=True)]
                 rows = pa.array(take, pa.int32())
@@ -190,7 +213,8 @@ def _links(reps: DataFrame, width: int, threshold: float, chunk: int) -> DataFra
                 )
 
     def met(table: pa.Table) -> pa.Table:
-        b, c1, k1, c2, k2 = (table[c][0].as_py() for c in ("b", "c1", "k1", "c2", "k2"))
+        width, b, c1, k1, c2, k2 = (table[c][0].as_py() for c in ("width", "b", "c1", "k1", "c2", "k2"))
+        join = joins[width]
         table = table.sort_by("right")
         right = table["right"].to_numpy()
         vectors = _matrix(table["embedding"], width)
@@ -210,10 +234,10 @@ def _links(reps: DataFrame, width: int, threshold: float, chunk: int) -> DataFra
 
     tiles = cells.mapInArrow(
         dealt,
-        "b int, c1 int, k1 int, c2 int, k2 int, rid long, copies long, right boolean, embedding array<double>",
+        "width int, b int, c1 int, k1 int, c2 int, k2 int, rid long, copies long, right boolean, embedding array<double>",
     )
     return written(
-        tiles.groupBy("b", "c1", "k1", "c2", "k2").applyInArrow(met, "rid long, root long, links long"), "vector-links"
+        tiles.groupBy("width", "b", "c1", "k1", "c2", "k2").applyInArrow(met, "rid long, root long, links long"), "vector-links"
     )
 
 
@@ -223,15 +247,12 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, chunk: int = CHUNK)
     finite = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.coalesce(finite & F.exists(wide, lambda x: x != 0.0), F.lit(False))
     rows = vectors.select("vec_id", F.when(usable, wide).alias("embedding"))
-    lengths = rows.filter(F.col("embedding").isNotNull()).groupBy(F.size("embedding").alias("n")).count()
-    common = lengths.orderBy(F.desc("count"), F.desc("n")).first()
-    width = common["n"] if common else 1
-    rows = rows.withColumn("embedding", F.when(F.size("embedding") == width, F.col("embedding")))
     grouped = rows.filter(F.col("embedding").isNotNull()).groupBy("embedding").agg(
         F.min("vec_id").alias("first"), F.count("*").alias("copies")
     )
-    reps = written(grouped.withColumn("rid", F.monotonically_increasing_id()), "vectors")
-    links = _links(reps, width, threshold, chunk)
+    numbered = grouped.withColumn("rid", F.monotonically_increasing_id()).withColumn("width", F.size("embedding"))
+    reps = written(numbered, "vectors")
+    links = _links(reps, threshold, chunk)
     sums = links.groupBy(F.col("rid").alias("_r")).agg(F.sum("links").alias("links"))
     roots = components(links.select("rid", "root"), "rid", "root")
     rooted = reps.join(roots, F.col("rid") == F.col("node"), "left").select(
