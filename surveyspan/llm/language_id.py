@@ -3,11 +3,12 @@
 A text is a bag of byte trigrams and four-grams (ASCII letters folded, other ASCII bytes as
 blanks), each hashed to one of ``BUCKETS`` embeddings. The mean embedding goes through a
 linear softmax. Embeddings and weights are trained together by mini-batch gradient descent in numpy
-on the driver, on at most about ``PER_LANGUAGE * SEGMENTS`` short segments of each of
-``MAX_LANGUAGES`` languages. The segments are drawn by hash from anywhere in a text.
+on the driver, on short segments of about ``PER_LANGUAGE`` rows of each language, ``SEGMENTS`` a row. Every language takes
+part; beyond ``ROWS / PER_LANGUAGE`` languages each has about ``ROWS / languages`` rows, but not under
+``LEAST``. The segments are drawn by hash from anywhere in a text.
 
 After training, embedding times weights is one table of class scores per bucket
-(``BUCKETS`` x languages numbers, a bound that does not grow with the data); prediction adds up the
+(``BUCKETS`` x languages numbers, which grow with the languages but not with the rows); prediction adds up the
 table's rows over the whole text inside an Arrow function. A fifth of the sample sets the
 softmax temperature and the rejection threshold: the score below which only ``LOST`` of the
 correctly recognised segments lie.
@@ -35,7 +36,9 @@ DIMENSIONS = 16
 PER_LANGUAGE = 1000
 SEGMENTS = 4
 SEGMENT_WORDS = 30
-MAX_LANGUAGES = 64
+#: Rows of all languages together, and the rows of one language that many languages do not lower.
+ROWS = 64_000
+LEAST = 20
 EPOCHS = 6
 RATE = 30.0
 LOST = 0.001
@@ -170,16 +173,16 @@ def _segments(key: pa.Array, text: pa.Array) -> pa.Array:
 def fit(docs: DataFrame) -> Model:
     """Train on a bounded sample of the labelled rows that are not held out."""
     usable = docs.filter(F.col("lang").isNotNull() & (_remainder() != 0)).select("doc_id", "text", "lang")
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = usable.groupBy("lang").count().collect()  # one row per language, as in the model
     if not sizes:
         return train([])
     # one hash in [0, 2^20) per row; a language takes the rows below its share
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 20))
-    parts = [(F.col("lang") == r["lang"]) & (draw < int(min(1.0, PER_LANGUAGE / r["count"]) * (1 << 20))) for r in sizes]
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen | p
-    sample = usable.filter(chosen & has_letter()).select(
+    rows = max(LEAST, min(PER_LANGUAGE, ROWS // len(sizes)))
+    below = [(r["lang"], int(min(1.0, rows / r["count"]) * (1 << 20))) for r in sizes]
+    shares = docs.sparkSession.createDataFrame(below, "_lang string, _below int")
+    chosen = usable.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).filter((draw < F.col("_below")) & has_letter())
+    sample = chosen.select(
         "doc_id", "lang", F.explode(_segments(F.col("doc_id"), F.col("text"))).alias("segment")
     )
     rows = sorted({(r["lang"], r["doc_id"], bytes(r["segment"])) for r in sample.collect() if r["segment"]})
