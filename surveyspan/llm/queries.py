@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from surveyspan.llm import (
     byte_shards,
     exact_dedup,
+    html_extraction,
     language_id,
     license_classifier,
     mixing,
@@ -64,6 +65,10 @@ def op10_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_classifier.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_recurrent_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op12_ptolemaic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ptolemaic_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5, width=64, scale=256, seed=2)
     return found.drop("measured")
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_salted_exact_dedup,
         op9_source_mixing,
         op10_license_classifier,
+        op11_recurrent_extraction,
         op12_ptolemaic_clusters,
         op13_permuterm_variants,
     )
