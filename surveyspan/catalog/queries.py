@@ -6,6 +6,7 @@ engines add in different orders.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,10 @@ from surveyspan.operators.reshape import codes_with, codes_without
 from surveyspan.plans import audit, child, cholera, geography, report, sanitation, tables, water
 from surveyspan.plans.households import GEO_KEYS, HouseholdRules
 from surveyspan.sources import polygons
-from surveyspan.sources.codebook import codebook_table, decode_labels, strip_metadata, value_labels
-from surveyspan.sources.tables import read_code_classes
-from surveyspan.staging import stage
+from surveyspan.sources import sinks, stata
+from surveyspan.sources.codebook import Variable, codebook_table, decode_labels, decode_with_table, label_table, strip_metadata, value_labels
+from surveyspan.sources.tables import classify, read_code_classes, read_delimited, read_microdata, read_sheet_export
+from surveyspan.staging import ensure_checkpoint_dir, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +46,11 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, for queries that write a file and read it back."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     doubles = [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
     return df.withColumns({c: F.round(quoted(c), digits) for c in doubles})
@@ -184,6 +191,90 @@ def audit_recode(spark, sf):
     return audit.audit_recode(sv.households(spark, sf), "hv204", "time2water")
 
 
+@register("recode_from_stata", ORACLES["recode_household"])
+def recode_from_stata(spark, sf):
+    """The survey is converted to labelled microdata files, which are read in parallel and recoded."""
+    path = scratch(spark, "survey")
+    stata.write_labelled(sv.raw_households(spark, sf), path)
+    raw = stata.read_labelled(spark, path)
+    whole = {c: F.col(c).cast("bigint") for c in ("hv001", "hv005", "hv021", "hv271")}
+    return sv.households(spark, sf, geo=True, raw=raw.withColumns(whole))
+
+
+@register(
+    "stata_labels",
+    f"WITH {sql.LABELS}, {sql.households()} "
+    "SELECT coalesce(w.label, CAST(hv201 AS VARCHAR)) AS hv201, count(*) AS n, "
+    "'source of drinking water' AS description FROM hh LEFT JOIN label_rows w ON w.variable = 'hv201' AND w.code = hv201 GROUP BY 1",
+)
+def stata_labels(spark, sf):
+    """Labels and descriptions come back from the files' own headers; only one variable is decoded from the records."""
+    path = scratch(spark, "labels")
+    stata.write_labelled(sv.raw_households(spark, sf), path)
+    raw = stata.read_labelled(spark, path, columns=["hv201", "shregnew"]).filter(F.col("shregnew") != 12)
+    described = raw.schema["hv201"].metadata["label"]
+    return counts.group_count(decode_labels(raw, ["hv201"]), ["hv201"]).withColumn("description", F.lit(described))
+
+
+@register("decode_label_table", ORACLES["decode_labels"])
+def decode_label_table(spark, sf):
+    """The same labels from a long table ``variable, code, label``."""
+    hh = sv.households(spark, sf)
+    labels = label_table([Variable("hv201", None, water.WATER_TYPES), Variable("hv205", None, sanitation.TOILET_TYPES)], spark)
+    return counts.group_count(decode_with_table(hh, ["hv201", "hv205"], labels), ["hv201", "hv205"])
+
+
+@register(
+    "decode_long_table",
+    """WITH named AS (SELECT code, min(label) AS label FROM (SELECT p_partkey AS code, p_name AS label FROM part
+                       UNION ALL SELECT p_partkey, upper(p_brand) FROM part WHERE p_partkey % 3 = 0) GROUP BY code),
+       sold AS (SELECT s_suppkey AS code, s_name AS label FROM supplier WHERE s_suppkey % 7 <> 0)
+    SELECT l_orderkey, l_linenumber, coalesce(named.label, CAST(l_partkey AS VARCHAR)) AS l_partkey,
+           coalesce(sold.label, CAST(l_suppkey AS VARCHAR)) AS l_suppkey, count(*) AS n
+    FROM lineitem LEFT JOIN named ON named.code = l_partkey LEFT JOIN sold ON sold.code = l_suppkey GROUP BY 1, 2, 3, 4""",
+)
+def decode_long_table(spark, sf):
+    """A label table that grows with the data, with several labels for some codes."""
+    part, supplier = sv.table(spark, sf, "part"), sv.table(spark, sf, "supplier")
+    labels = (
+        part.selectExpr("'l_partkey' AS variable", "p_partkey AS code", "p_name AS label")
+        .unionByName(part.filter("p_partkey % 3 = 0").selectExpr("'l_partkey' AS variable", "p_partkey AS code", "upper(p_brand) AS label"))
+        .unionByName(supplier.filter("s_suppkey % 7 <> 0").selectExpr("'l_suppkey' AS variable", "s_suppkey AS code", "s_name AS label"))
+    )
+    items = sv.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return counts.group_count(decode_with_table(items, ["l_partkey", "l_suppkey"], labels), items.columns)
+
+
+@register(
+    "classes_joined",
+    f"WITH {sql.indicators()} SELECT toilet_type, count(*) AS n FROM ind GROUP BY 1",
+)
+def classes_joined(spark, sf):
+    """The classification joined as a table instead of read as literals."""
+    listed = {"improved": sanitation.IMPROVED_TOILETS, "unimproved": sanitation.UNIMPROVED_TOILETS, "open defecation": sanitation.OPEN_DEFECATION}
+    table = _class_table(spark, sf, "toilet_source", listed)
+    return counts.group_count(classify(sv.households(spark, sf), "toilet_source", table, "toilet_type"), ["toilet_type"])
+
+
+@register(
+    "files_round_trip",
+    """SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row, o_orderkey, o_orderpriority,
+              CAST(o_orderdate AS DATE) AS day, round(o_totalprice, 6) AS price FROM orders""",
+)
+def files_round_trip(spark, sf):
+    """Numbered CSV, typed read of it, a sheet export of that, and Parquet with labels, each read back."""
+    orders = sv.table(spark, sf, "orders").select(
+        "o_orderkey", "o_orderpriority", F.col("o_orderdate").cast("date").alias("day"), F.round("o_totalprice", 6).alias("price")
+    )
+    first, second, third = (scratch(spark, n) for n in ("numbered", "sheet", "labelled"))
+    sinks.write_numbered_csv(orders, first, [F.col("day").asc(), F.col("o_orderkey").asc()], keys=["day", "o_orderkey"])
+    schema = "row bigint, o_orderkey bigint, o_orderpriority string, day date, price double"
+    sinks.write_csv(read_delimited(spark, first, schema), second)
+    sheet = read_sheet_export(spark, second, schema, lead_rows=True)
+    sinks.write_parquet(sheet.select(F.col("row").alias("row", metadata={"label": "row number"}), *sheet.columns[1:]), third)
+    return read_microdata(spark, third)
+
+
 # --- scalar rules ------------------------------------------------------------
 
 _ORDER_PRICE = "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END"
@@ -616,6 +707,37 @@ def numbered_rows(spark, sf):
     return numbered.select("o_orderkey", "o_totalprice", "row")
 
 
+@register("numbered_keys", ORACLES["numbered_rows"])
+def numbered_keys(spark, sf):
+    """The same numbers with only the sort columns sorted and staged."""
+    keys = [F.col("o_orderpriority").asc(), F.col("o_totalprice").desc(), F.col("o_orderkey").asc()]
+    numbered = order.row_numbers(
+        sv.table(spark, sf, "orders"), keys, "row", keys=["o_orderpriority", "o_totalprice", "o_orderkey"]
+    )
+    return numbered.select("o_orderkey", "o_totalprice", "row")
+
+
+@register(
+    "exact_medians",
+    f"""SELECT 'price' AS what, {sql.r("median(l_extendedprice)", "middle")} FROM lineitem
+        UNION ALL SELECT 'quantity', {sql.r("median(l_quantity)", "middle")} FROM lineitem
+        UNION ALL SELECT 'known', {sql.r("median(CASE WHEN l_linenumber > 2 THEN l_tax * l_extendedprice END)", "middle")} FROM lineitem""",
+)
+def exact_medians(spark, sf):
+    """Many distinct values, heavy ties, and missing values."""
+    items = sv.table(spark, sf, "lineitem")
+    values = {
+        "price": F.col("l_extendedprice"),
+        "quantity": F.col("l_quantity"),
+        "known": F.when(F.col("l_linenumber") > 2, F.col("l_tax") * F.col("l_extendedprice")),
+    }
+    parts = [
+        order.exact_median(items.select(v.alias("v")), "v", "middle").select(F.lit(k).alias("what"), "middle")
+        for k, v in values.items()
+    ]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
 # --- children ----------------------------------------------------------------
 
 

@@ -156,10 +156,12 @@ def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_geography(geo_admin2(spark, sf_dir), geo_admin3(spark, sf_dir))
 
 
-def households(spark: SparkSession, sf_dir: str, rules: HouseholdRules | None = None, geo: bool = False) -> DataFrame:
-    """Households; with ``geo`` each row also carries its cluster's geography."""
+def households(
+    spark: SparkSession, sf_dir: str, rules: HouseholdRules | None = None, geo: bool = False, raw: DataFrame | None = None
+) -> DataFrame:
+    """Households; with ``geo`` each row also carries its cluster's geography. ``raw`` replaces the derived microdata."""
     return household_table(
-        raw_households(spark, sf_dir),
+        raw_households(spark, sf_dir) if raw is None else raw,
         region_labels(spark, sf_dir),
         dhs_labels(spark, sf_dir),
         geography(spark, sf_dir) if geo else None,

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyspan.operators.design import SurveyDesign
-from surveyspan.operators.joins import keyed_join, quoted, unique_lookup
+from surveyspan.operators.joins import lookup_join, quoted
 from surveyspan.staging import stage
 
 NATIONAL = "national"
@@ -107,7 +107,7 @@ def cluster_totals(
             *[quoted(b).cast("string").alias(f"_d{by.index(b)}") for b in late],
         )
         place_keys = [f"_k{i}" for i in range(len(keys))]
-        finest = keyed_join(finest, unique_lookup(places, place_keys), place_keys, "left")
+        finest = lookup_join(finest, places, place_keys)
 
     def member(name: str, value: Column) -> Column:
         return F.struct(F.lit(name).alias("by_var"), value.alias("domain"))

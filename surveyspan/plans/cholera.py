@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyspan.functions import case_when, ratio, respell, signif, trim_text
-from surveyspan.operators.joins import keyed_join, quoted, unique_lookup
+from surveyspan.operators.joins import keyed_join, lookup_join, quoted, whole_join
 from surveyspan.operators.order import descending
 
 # Response classes, phases, base rate and name fixes.
@@ -35,15 +35,22 @@ def priority_communes(raw: DataFrame, layer: DataFrame, how: str = "full") -> Da
     """Commune priorities on the commune polygons (both name columns trimmed).
 
     ``how="left"`` keeps listed communes only; ``full`` also keeps polygons of
-    communes that are not listed. ``polygon_vertices(..., keep_empty=True)`` makes the vertex table of it.
+    communes that are not listed, and a commune listed twice raises. ``polygon_vertices(..., keep_empty=True)`` makes the vertex table of it.
     """
-    return keyed_join(commune_priorities(raw), layer, ["commune", "departement"], how)
+    listed, on = commune_priorities(raw), ["commune", "departement"]
+    if how != "full":
+        return keyed_join(listed, layer, on, how)
+    both = whole_join(layer, listed, on, suffixes=("_y", "_x"))
+    shared = set(listed.columns) & set(layer.columns) - set(on)
+    first = [c + "_x" if c in shared else c for c in listed.columns if c not in on]
+    rest = [c for c in both.columns if c not in (*on, *first)]
+    return both.select(*[quoted(c) for c in (*on, *first, *rest)])
 
 
 def rates(cases: DataFrame, population: DataFrame, spellings=POPULATION_SPELLINGS) -> DataFrame:
     """Monthly cases with population and ``rate = cases / population``."""
     people = population.withColumn("Departement", respell(F.col("Departement"), dict(spellings)))
-    joined = keyed_join(cases, unique_lookup(people, ["Departement"]), "Departement", "left")
+    joined = lookup_join(cases, people, "Departement")
     return joined.withColumn("rate", ratio(F.col("Cases"), F.col("pop")))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from surveyspan.functions import case_when, percent, respell, trim_text
 from surveyspan.operators.counts import distinct_rows
-from surveyspan.operators.joins import keyed_join, quoted, unique_lookup
+from surveyspan.operators.joins import keyed_join, lookup_join, quoted, whole_join
 
 # Columns of the cluster file behind the geography table.
 GEO_COLUMNS = {
@@ -80,15 +80,16 @@ def map_table(estimates: DataFrame, layer: DataFrame, name: str, layer_name: str
     The estimates are checked to hold one row per name, so no polygon is repeated. Give the polygons
     and take their vertices (:func:`polygon_vertices`) afterwards: then no vertex is shuffled.
     """
-    return keyed_join(layer, unique_lookup(estimates, [name]), {layer_name: name}, "left")
+    return lookup_join(layer, estimates, {layer_name: name})
 
 
 def full_map_table(values: DataFrame, layer: DataFrame, on: Mapping[str, str] | Sequence[str]) -> DataFrame:
     """Polygons and area values, keeping areas that have no polygon as well.
 
+    The values hold one row per area, a second one raises, so no polygon is repeated.
     ``polygon_vertices(..., keep_empty=True)`` makes the vertex table of it.
     """
-    return keyed_join(layer, values, on, "full")
+    return whole_join(layer, values, on)
 
 
 def centroid_labels(centroids: DataFrame, mapped: DataFrame, name: str, fill: str, digits: int = 0) -> DataFrame:

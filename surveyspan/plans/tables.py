@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from surveyspan.functions import percent, split_pair
 from surveyspan.operators.design import SurveyDesign
 from surveyspan.operators.estimate import domain_table, estimate_many
-from surveyspan.operators.joins import keyed_join, quoted, unique_lookup, with_scalar
+from surveyspan.operators.joins import keyed_join, lookup_join, quoted, with_scalar
 from surveyspan.operators.order import exact_median, level_order, with_level_order
 from surveyspan.operators.reshape import long_form
 from surveyspan.staging import stage
@@ -23,7 +23,7 @@ def with_parent_summary(
     ``names`` gives the parent of each child and must be unique by child. The
     ordinal ``<parent>_order`` ranks the regions from best to worst.
     """
-    placed = keyed_join(child, unique_lookup(names.select(child_key, parent_key), [child_key]), child_key, "left")
+    placed = lookup_join(child, names.select(child_key, parent_key), child_key)
     band = parent.select(
         quoted(parent_key),
         *[F.col(c).alias(f"{parent_key}_{c}") for c in ("avg", "lb", "ub")],
@@ -100,7 +100,7 @@ def compare_indicators(
     b = second.select(quoted(key), F.col("avg").alias(second_name))
     wide = stage(keyed_join(a, b, key, "full"))  # read three times, one row per area
     longer = long_form(wide, [key], [first_name, second_name])
-    middle = exact_median(longer, "value", [quoted(key).asc(), F.col("indicator").asc()], "middle")
+    middle = exact_median(longer, "value", "middle")
     banded = (
         with_scalar(longer, middle, "middle", "middle")
         .withColumn(

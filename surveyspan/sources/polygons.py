@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyspan.operators.joins import keyed_join, quoted, unique_lookup
+from surveyspan.operators.joins import lookup_join, quoted
 from surveyspan.sources.sinks import write_numbered_csv
 
 
@@ -60,7 +60,7 @@ def polygon_vertices(
 
 def attach_attributes(vertices: DataFrame, attributes: DataFrame, id_column: str = "id") -> DataFrame:
     """Vertices with the attribute row of their polygon, for layers kept in two tables."""
-    return keyed_join(vertices, unique_lookup(attributes, [id_column]), id_column, "left")
+    return lookup_join(vertices, attributes, id_column)
 
 
 def select_pieces(vertices: DataFrame, ids: Sequence, piece: int = 1) -> DataFrame:
@@ -113,6 +113,6 @@ def polygon_centroids(
 def export_layer(layer: DataFrame, folder: str, name: str, label: str | None = None) -> None:
     """Numbered CSV exports of the vertex table and of the centroids."""
     write_numbered_csv(
-        polygon_vertices(layer), f"{folder}/{name}.csv", [quoted("id").asc(), quoted("order").asc()]
+        polygon_vertices(layer), f"{folder}/{name}.csv", [quoted("id").asc(), quoted("order").asc()], keys=["id", "order"]
     )
-    write_numbered_csv(polygon_centroids(layer, label), f"{folder}/{name}_centroids.csv", [quoted("id").asc()])
+    write_numbered_csv(polygon_centroids(layer, label), f"{folder}/{name}_centroids.csv", [quoted("id").asc()], keys=["id"])

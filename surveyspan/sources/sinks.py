@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 
+from surveyspan.operators.joins import quoted
 from surveyspan.operators.order import row_numbers
 
 
@@ -14,10 +15,12 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def write_numbered_csv(df: DataFrame, path: str, order: Sequence[Column], mode: str = "error") -> None:
-    """CSV with a leading row-number column over an explicit order."""
-    numbered = row_numbers(df, order, "row")
-    write_csv(numbered.select("row", *df.columns), path, mode)
+def write_numbered_csv(
+    df: DataFrame, path: str, order: Sequence[Column], mode: str = "error", keys: Sequence[str] | None = None
+) -> None:
+    """CSV with a leading row-number column over an explicit order; ``keys`` as in :func:`row_numbers`."""
+    numbered = row_numbers(df, order, "row", keys)
+    write_csv(numbered.select("row", *[quoted(c) for c in df.columns if c != "row"]), path, mode)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "error", partition_by: Sequence[str] = ()) -> None:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surveyspan.functions import nan_to_null
-from surveyspan.operators.joins import quoted
-from surveyspan.sources.codebook import attach_codebook, bounded_rows, read_codebook
+from surveyspan.operators.joins import attach, quoted
+from surveyspan.sources.codebook import attach_codebook, read_codebook
 
 TOILET_CLASS_SCHEMA = "toilet_type string, code int, improved string"
 WATER_CLASS_SCHEMA = "water_type string, code int, improved int"
@@ -50,7 +50,7 @@ def read_microdata(
     df = nan_to_null((reader if schema is None else reader.schema(schema)).load(path))
     if codebook is None:
         return df
-    return attach_codebook(df, read_codebook(spark.read.parquet(codebook)))
+    return attach_codebook(df, read_codebook(spark.read.parquet(codebook), df.columns))
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -92,13 +92,32 @@ def read_sheet_export(
     )
 
 
-def read_code_classes(table: DataFrame, code: str = "code", cls: str = "improved", limit: int = 10_000) -> dict:
-    """``{class: (codes)}`` from a classification table small enough for literals."""
+def read_code_classes(table: DataFrame, code: str = "code", cls: str = "improved", limit: int | None = None) -> dict:
+    """``{class: (codes)}`` from a classification table, for use as literals.
+
+    All its rows reach the driver; with a ``limit``, more of them raise. A long table is joined
+    instead (:func:`classify`), with the same result.
+    """
     classes: dict = {}
-    for row in bounded_rows(table.select(quoted(cls), quoted(code)), limit, "classification"):
+    listed = table.select(quoted(cls), quoted(code))
+    rows = (listed if limit is None else listed.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
+        raise ValueError(f"the classification has more than {limit} rows; join it instead")
+    for row in rows:
         classes.setdefault(row[0], []).append(row[1])
     return {k: tuple(sorted(v)) for k, v in classes.items()}
 
 
+def classify(
+    df: DataFrame, column: str, table: DataFrame, into: str, code: str = "code", cls: str = "improved"
+) -> DataFrame:
+    """Add the class of each code from a classification table of any length; unlisted codes get NULL.
+
+    A code listed twice with one class counts once; a code with two classes raises.
+    """
+    listed = table.select(quoted(code).alias("code"), quoted(cls).alias("class")).distinct()
+    return attach(df, listed, {column: "code"}, {"class": into})
+
+
 def secondary_cities(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SECONDARY_CITIES, "city string, population bigint")
