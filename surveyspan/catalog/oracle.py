@@ -255,3 +255,19 @@ LABELS = "label_rows(variable, label, code) AS (VALUES " + ", ".join(
     for v, labels in (("hv201", WATER_TYPES), ("hv205", TOILET_TYPES))
     for label, code in labels.items()
 ) + ")"
+
+# Fixed value: first eccentricity of the WGS 84 ellipsoid.
+ECCENTRICITY = 0.08181919084262149
+# The series of the transverse Mercator projection on that ellipsoid, from n = 0.0016792203863837.
+MERCATOR_TERMS = (8.377318206244698e-04, 7.608527773572489e-07, 1.197645503242492e-09, 2.429170607201359e-12, 5.711757677865804e-15, 1.491117731258390e-17)
+RECTIFYING_RADIUS = 6367449.145823415
+
+
+def easting(zone) -> str:
+    terms = " + ".join(f"{t!r} * cos({2 * j} * u) * sinh({2 * j} * v)" for j, t in enumerate(MERCATOR_TERMS, 1))
+    return f"{zone.false_easting} + {zone.scale * RECTIFYING_RADIUS!r} * (v + {terms})"
+
+
+def northing(zone) -> str:
+    terms = " + ".join(f"{t!r} * sin({2 * j} * u) * cosh({2 * j} * v)" for j, t in enumerate(MERCATOR_TERMS, 1))
+    return f"{zone.false_northing} + {zone.scale * RECTIFYING_RADIUS!r} * (u + {terms})"

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from surveyspan import functions as fn
 from surveyspan.catalog import oracle as sql
 from surveyspan.catalog import surrogate as sv
+from surveyspan.functions.projection import TransverseMercator, to_projected
 from surveyspan.operators import counts, order
 from surveyspan.operators.design import SurveyDesign, design_summary
 from surveyspan.operators.estimate import estimate_many, point_estimate
@@ -22,8 +23,7 @@ from surveyspan.operators.joins import keyed_join, lookup, place_lookup, quoted
 from surveyspan.operators.reshape import codes_with, codes_without
 from surveyspan.plans import audit, child, cholera, geography, report, sanitation, tables, water
 from surveyspan.plans.households import GEO_KEYS, HouseholdRules
-from surveyspan.sources import polygons
-from surveyspan.sources import sinks, stata
+from surveyspan.sources import polygons, shapes, sinks, stata
 from surveyspan.sources.codebook import Variable, codebook_table, decode_labels, decode_with_table, label_table, strip_metadata, value_labels
 from surveyspan.sources.tables import classify, read_code_classes, read_delimited, read_microdata, read_sheet_export
 from surveyspan.staging import ensure_checkpoint_dir, stage
@@ -860,6 +860,32 @@ def polygon_vertices(spark, sf):
     return rounded(polygons.polygon_vertices(sv.commune_layer(spark, sf)))
 
 
+@register("layer_files", f"WITH {sql.VERTICES} SELECT {sql.VERTEX_COLUMNS.replace('A2_Name', 'rtrim(A2_Name) AS A2_Name')} FROM vertex")
+def layer_files(spark, sf):
+    """The layer is written as projected record files, read in parallel and brought back to degrees."""
+    path = scratch(spark, "layer")
+    shapes.write_layer(sv.commune_layer(spark, sf), path, TransverseMercator.utm(18))
+    layer = shapes.read_layer(spark, path).drop("id").withColumnRenamed("id_attribute", "id")
+    return rounded(polygons.polygon_vertices(layer))
+
+
+_ZONE = TransverseMercator.utm(18)
+
+
+@register(
+    "projected_vertices",
+    f"""WITH {sql.VERTICES},
+    sphere AS (SELECT *, sin(radians(lat)) AS s, radians(long - {_ZONE.central_meridian}) AS turn FROM vertex),
+    tangent AS (SELECT *, sinh(atanh(s) - {sql.ECCENTRICITY!r} * atanh({sql.ECCENTRICITY!r} * s)) AS t FROM sphere),
+    angle AS (SELECT *, atan2(t, cos(turn)) AS u, asinh(sin(turn) / sqrt(t * t + cos(turn) * cos(turn))) AS v FROM tangent)
+    SELECT id, "order", round({sql.easting(_ZONE)}, 4) AS easting, round({sql.northing(_ZONE)}, 4) AS northing FROM angle""",
+)
+def projected_vertices(spark, sf):
+    vertices = polygons.polygon_vertices(sv.commune_layer(spark, sf)).select("id", "order", "long", "lat")
+    flat = to_projected(vertices, _ZONE)
+    return flat.select("id", "order", F.round("long", 4).alias("easting"), F.round("lat", 4).alias("northing"))
+
+
 @register(
     "vertex_attributes",
     f"WITH {sql.VERTICES} SELECT {sql.VERTEX_COLUMNS} FROM vertex WHERE id IN (1, 2, 3, 50) AND piece = 1",
