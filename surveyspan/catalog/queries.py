@@ -20,6 +20,7 @@ from surveyspan.operators import counts, order
 from surveyspan.operators.design import SurveyDesign, design_summary
 from surveyspan.operators.estimate import estimate_many, point_estimate
 from surveyspan.operators.joins import keyed_join, lookup, place_lookup, quoted
+from surveyspan.operators.places import tolerant_lookup
 from surveyspan.operators.reshape import codes_with, codes_without
 from surveyspan.plans import audit, child, cholera, geography, report, sanitation, tables, water
 from surveyspan.plans.households import GEO_KEYS, HouseholdRules
@@ -455,6 +456,26 @@ def estimate_many_joined_first(spark, sf):
     return rounded(estimate_many(sv.indicators(spark, sf, geo=True), sv.DESIGN, [TOILET, WATER], DOMAINS))
 
 
+# Two levels of a geography, and two columns that cut across PSUs.
+_CROSSING = {"region_name": ["region_name", "dhs_region"], "interview_month": ["interview_month"], "hh_num": ["hh_num"]}
+
+
+@register(
+    "estimate_crossing",
+    f"WITH {sql.indicators()} "
+    + " UNION ALL ".join(
+        f"SELECT '{v}' AS variable, '{b or 'national'}' AS by_var, {sql.contract('domain')} "
+        f"FROM {sql.estimate('ind', v, b and f'CAST({b} AS VARCHAR)')}"
+        for v in (TOILET, WATER)
+        for b in [None, "region_name", "dhs_region", "interview_month", "hh_num"]
+    ),
+)
+def estimate_crossing(spark, sf):
+    """Domains that cut across PSUs beside a geography: one scan, no product of the two."""
+    by = [b for family in _CROSSING.values() for b in family]
+    return rounded(estimate_many(sv.indicators(spark, sf), sv.DESIGN, [TOILET, WATER], by, families=list(_CROSSING.values())))
+
+
 # Every stratum but one holds many PSUs; this one is reduced to a single PSU.
 _LONELY_SQL = """, lone AS (
   SELECT * REPLACE (CASE WHEN prim_sampling_unit = first_psu THEN 99 ELSE sample_strata END AS sample_strata)
@@ -984,6 +1005,38 @@ def gazetteer_join(spark, sf):
     return rounded(place_lookup(cities, "city", places, "HT"))
 
 
+# Part names as places, and the same names with slips: case, accents, one edit, two edits.
+_SLIPS = {
+    1: "upper(full_name)",
+    2: "replace(full_name, 'e', 'é')",
+    3: "concat(substring(full_name, 1, 2), substring(full_name, 4))",
+    4: "concat(substring(full_name, 1, 4), 'q', substring(full_name, 6))",
+    5: "concat('x', substring(full_name, 1, length(full_name) - 1))",
+}
+_SLIPPED = "CASE p_partkey % 6 " + " ".join(f"WHEN {k} THEN {v}" for k, v in _SLIPS.items()) + " ELSE full_name END"
+
+
+@register(
+    "tolerant_places",
+    f"""WITH full_names AS (SELECT p_partkey, concat(p_name, ' ', p_brand) AS full_name FROM part),
+    asked AS (SELECT p_partkey, {_SLIPPED} AS name FROM full_names),
+    place AS (SELECT full_name AS loc, min(p_partkey) AS first_key FROM full_names WHERE p_partkey % 4 <> 1 GROUP BY 1),
+    near AS (
+      SELECT n.name, loc, first_key, levenshtein(lower(strip_accents(n.name)), lower(loc)) AS d,
+             CASE WHEN n.name = loc THEN -1 ELSE levenshtein(lower(strip_accents(n.name)), lower(loc)) END AS rank
+      FROM (SELECT DISTINCT name FROM asked) n CROSS JOIN place
+      WHERE levenshtein(lower(strip_accents(n.name)), lower(loc)) <= least(2, length(n.name) // 4)),
+    best AS (SELECT name, any_value(loc) AS loc, any_value(first_key) AS first_key, any_value(d) AS distance, count(*) AS n_places
+             FROM (SELECT *, min(rank) OVER (PARTITION BY name) AS least FROM near) WHERE rank = least GROUP BY name)
+    SELECT p_partkey, asked.name, CASE WHEN n_places = 1 THEN loc END AS loc, distance, coalesce(n_places, 0) AS n_places,
+           CASE WHEN n_places = 1 THEN first_key END AS first_key FROM asked LEFT JOIN best ON best.name = asked.name""",
+)
+def tolerant_places(spark, sf):
+    part = sv.table(spark, sf, "part").selectExpr("p_partkey", "concat(p_name, ' ', p_brand) AS full_name")
+    gazetteer = part.filter("p_partkey % 4 <> 1").groupBy(F.col("full_name").alias("loc")).agg(F.min("p_partkey").alias("first_key"))
+    return tolerant_lookup(part.selectExpr("p_partkey", f"{_SLIPPED} AS name"), "name", gazetteer)
+
+
 @register(
     "label_lookup",
     "SELECT coalesce(n_name, CAST(l_suppkey % 30 AS VARCHAR)) AS code, count(*) AS n FROM lineitem "

@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from surveyspan.operators import counts
 from surveyspan.operators.design import SurveyDesign, design_summary
-from surveyspan.operators.estimate import cluster_totals, domain_table, estimate_many, estimates, point_estimate
+from surveyspan.operators.estimate import (
+    cluster_totals,
+    domain_families,
+    domain_table,
+    estimate_many,
+    estimates,
+    point_estimate,
+    wide_totals,
+)
 from surveyspan.staging import stage
 
 SCHEMA = "h int, c int, w double, y double, d string, e string"
@@ -278,3 +286,73 @@ def test_far_domains_keep_their_standard_errors(spark):
 def test_long_crosstab_has_no_limit(spark):
     df = spark.range(3000).selectExpr("id % 2 AS a", "id AS b")
     assert counts.crosstab(df, "a", "b").count() == 3000
+
+
+# --- families of domain columns ---------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def crossed(spark):
+    """Regions and districts of PSUs; ages and age bands, and a sex, that cut across them."""
+    rng = random.Random(3)
+    rows = []
+    for h in range(3):
+        for c in range(6):
+            for _ in range(40):
+                age = rng.choice([None, *range(30)])
+                rows.append((h, c, rng.uniform(0.5, 2), None if rng.random() < 0.1 else rng.random(), rng.random(), f"r{h % 2}",
+                             None if c == 5 else f"d{h}{c % 2}", age, None if age is None else age // 10, rng.choice("mf")))
+    return spark.createDataFrame(rows, "h int, c int, w double, y double, x double, region string, district string, age int, band int, sex string").cache()
+
+
+FAMILIES = [["region", "district"], ["age", "band"], ["sex"]]
+
+
+def test_families_give_the_estimates_of_single_runs(crossed):
+    by = ["region", "district", "age", "band", "sex"]
+    psu = SurveyDesign("psu", "h", "w")
+    df = crossed.withColumn("psu", F.col("h") * 10 + F.col("c"))
+    many = estimate_many(df, psu, ["y", "x"], by, families=FAMILIES, deff=True)
+    for v in ("y", "x"):
+        for b in [None, *by]:
+            kind = "string" if b in (None, "region", "district", "sex") else "int"
+            mine = {r[b] if b else None: r for r in domain_table(many, v, b, kind).collect()}
+            alone = {r[b] if b else None: r for r in point_estimate(df, psu, v, b, deff=True).collect()}
+            assert set(mine) == set(alone)
+            for k, r in alone.items():
+                for c in ("avg", "se", "ci", "lb", "ub", "N", "unweighted_avg", "deff"):
+                    assert mine[k][c] == r[c] or mine[k][c] == pytest.approx(r[c], rel=1e-9)
+
+
+def test_crossing_families_are_no_product(crossed):
+    psu = SurveyDesign("psu", "h", "w")
+    df = crossed.withColumn("psu", F.col("h") * 10 + F.col("c"))
+    totals = wide_totals(df, psu, ["y"], ["region", "district", "age", "band", "sex"], families=FAMILIES)
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Expand") == 1 and "NestedLoop" not in plan
+    finest = plan[plan.index("Expand") :].splitlines()[0]
+    assert finest.count("[") <= 5  # one projection per family
+    sizes = {r["by_id"]: r["count"] for r in totals.groupBy("by_id").count().collect()}
+    assert sizes[-1] == 18 and sizes[0] == 18 and sizes[4] <= 36
+
+
+def test_late_geography_beside_a_crossing_family(spark, crossed):
+    psu = SurveyDesign("psu", "h", "w")
+    df = crossed.withColumn("psu", F.col("h") * 10 + F.col("c"))
+    geo = spark.createDataFrame([(i, f"z{i % 4}") for i in range(40)], "psu int, zone string")
+    many = estimate_many(df, psu, ["y"], ["zone", "sex"], attach=geo, on=["psu"], families=[["zone"], ["sex"]])
+    early = estimate_many(df.join(geo, "psu"), psu, ["y"], ["zone", "sex"])
+    key = lambda r: (r["by_var"], str(r["domain"]))
+    for a, b in zip(sorted(many.collect(), key=key), sorted(early.collect(), key=key), strict=True):
+        assert key(a) == key(b) and a["se"] == pytest.approx(b["se"], rel=1e-9) and a["N"] == b["N"]
+
+
+def test_families_are_found(crossed):
+    psu = SurveyDesign("psu", "h", "w")
+    df = crossed.withColumn("psu", F.col("h") * 10 + F.col("c"))
+    found = domain_families(df, psu, ["sex", "band", "district", "age", "region"])
+    assert sorted(map(sorted, found)) == [["age", "band"], ["district", "region"], ["sex"]]
+    assert [f for f in found if "age" in f] == [["age", "band"]]
+    assert domain_families(df, psu, []) == [[]] and domain_families(df, psu, ["sex"]) == [["sex"]]
+    with pytest.raises(ValueError, match="families"):
+        wide_totals(df, psu, ["y"], ["sex", "age"], families=[["sex"]])
