@@ -4,12 +4,13 @@ A text is a bag of byte trigrams and four-grams (ASCII letters folded, other ASC
 blanks), each hashed to one of ``BUCKETS`` embeddings. The mean embedding goes through a
 linear softmax. Embeddings and weights are trained together by mini-batch gradient descent in numpy
 on the driver, on short segments of about ``PER_LANGUAGE`` rows of each language, ``SEGMENTS`` a row. Every language takes
-part; beyond ``ROWS / PER_LANGUAGE`` languages each has about ``ROWS / languages`` rows, but not under
-``LEAST``. The segments are drawn by hash from anywhere in a text.
+part, however many rows it has: shares are drawn with 62 bits, and a language whose share met no row gives the row with the
+smallest draw. Beyond ``ROWS / PER_LANGUAGE`` languages each has about ``ROWS / languages`` rows. The segments start
+at bytes drawn by hash from anywhere in a text, blanks in it or not.
 
-After training, embedding times weights is one table of class scores per bucket
-(``BUCKETS`` x languages numbers, which grow with the languages but not with the rows); prediction adds up the
-table's rows over the whole text inside an Arrow function. A fifth of the sample sets the
+Prediction averages the embeddings over the whole text inside an Arrow function and multiplies by the weights; with no more
+languages than ``DIMENSIONS`` the product of both is a table, made once. A language costs the driver and the model
+``DIMENSIONS`` numbers and its sample rows, nothing that grows with the rows. A fifth of the sample sets the
 softmax temperature and the rejection threshold: the score below which only ``LOST`` of the
 correctly recognised segments lie.
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,11 @@ DIMENSIONS = 16
 PER_LANGUAGE = 1000
 SEGMENTS = 4
 SEGMENT_WORDS = 30
-#: Rows of all languages together, and the rows of one language that many languages do not lower.
+SEGMENT_BYTES = 64 * SEGMENT_WORDS
+#: Rows of all languages together.
 ROWS = 64_000
-LEAST = 20
+#: Draws lie in [0, 2**DRAW_BITS).
+DRAW_BITS = 62
 EPOCHS = 6
 RATE = 30.0
 LOST = 0.001
@@ -65,23 +68,32 @@ def _buckets(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    scores: np.ndarray  # BUCKETS x languages
+    table: np.ndarray  # a row per bucket, added up over a text
+    weights: np.ndarray | None  # from the sums to the languages; None where the table holds their scores
     bias: np.ndarray
     temperature: float
     threshold: float
 
+    @staticmethod
+    def of(languages: tuple[str, ...], emb: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> Model:
+        table, left = emb.astype(np.float64), weights.astype(np.float64)
+        if len(languages) <= DIMENSIONS:
+            table, left = table @ left, None
+        return Model(languages, table, left, bias.astype(np.float64), 1.0, 0.0)
+
     def mean_scores(self, raw: np.ndarray) -> np.ndarray:
         """Logits of one whole text given as bytes, piece by piece."""
-        total = np.zeros(len(self.languages))
+        total = np.zeros(self.table.shape[1])
         for at in range(0, len(raw), PIECE):
             # a piece also sees the three bytes after it, so that no n-gram is lost at the cut
             n = min(PIECE, len(raw) - at)
             for ids in _buckets(raw[at : at + n + 3]):
                 if n < BUCKETS:
-                    total += self.scores.take(ids[:n], axis=0).sum(0)
+                    total += self.table.take(ids[:n], axis=0).sum(0)
                 else:
-                    total += np.bincount(ids[:n], minlength=BUCKETS) @ self.scores
-        return total / max(1, 2 * len(raw)) + self.bias
+                    total += np.bincount(ids[:n], minlength=BUCKETS) @ self.table
+        mean = total / max(1, 2 * len(raw))
+        return (mean if self.weights is None else mean @ self.weights) + self.bias
 
     def predict(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         if not texts:
@@ -103,7 +115,7 @@ def train(rows: list[tuple[str, bytes, bool]]) -> Model:
     """Fit on (language, segment, for calibration) rows; the same rows in the same order give the same model."""
     languages = tuple(sorted({r[0] for r in rows}))
     if not languages:
-        return Model((), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
+        return Model((), np.zeros((BUCKETS, 0)), None, np.zeros(0), 1.0, 0.0)
     code = {c: i for i, c in enumerate(languages)}
     raws = [np.frombuffer(r[1], np.uint8) for r in rows]
     target = np.array([code[r[0]] for r in rows])
@@ -133,7 +145,7 @@ def train(rows: list[tuple[str, bytes, bool]]) -> Model:
             weights -= rate * (h.T @ p)
             bias -= np.float32(0.1) * p.sum(0)
             emb -= rate * (x.T @ back)
-    model = Model(languages, (emb @ weights).astype(np.float64), bias.astype(np.float64), 1.0, 0.0)
+    model = Model.of(languages, emb, weights, bias)
     check = np.flatnonzero(held) if held.any() else used
     logits = np.stack([model.mean_scores(raws[i]) for i in check])
 
@@ -143,11 +155,12 @@ def train(rows: list[tuple[str, bytes, bool]]) -> Model:
         return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(check)), target[check]]))
 
     temperature = min(np.geomspace(0.05, 20, 60), key=loss)
-    best, score = Model(languages, model.scores, model.bias, temperature, 0.0).predict([raws[i] for i in check])
+    model = replace(model, temperature=float(temperature))
+    best, score = model.predict([raws[i] for i in check])
     right = np.sort(score[best == target[check]])
     threshold = float(right[int(LOST * len(right))]) if len(right) else 0.0
     # never so strict that a two-to-one preference counts as unsure
-    return Model(languages, model.scores, model.bias, float(temperature), min(threshold, 2 / 3))
+    return replace(model, threshold=min(threshold, 2 / 3))
 
 
 def _remainder() -> Column:
@@ -158,16 +171,44 @@ def has_letter() -> Column:
     return F.coalesce(F.regexp_like(F.col("text"), F.lit(r"\p{L}")), F.lit(False))
 
 
+def segments(key: object, text: str) -> list[bytes]:
+    """Up to SEGMENTS runs of words from bytes of the whole text that the key's hash chooses.
+
+    A run begins at a word, or inside one that is longer than 64 bytes, and ends with a whole character.
+    """
+    raw = text.encode()
+    out = {}
+    last = max(1, len(raw) - 6 * SEGMENT_WORDS)  # not so near the end that next to nothing follows
+    for i in range(SEGMENTS):
+        start = zlib.crc32(f"{key}/{i}".encode()) % last
+        if start:
+            blank = raw.find(b" ", start, start + 64)
+            start = blank + 1 if blank >= 0 else start
+        out[start] = _run(raw, start)
+    found = [out[s] for s in sorted(out) if out[s]]
+    # blanks at all chosen places: the first words instead
+    return found or [x for x in (_run(raw, len(raw) - len(raw.lstrip())),) if x]
+
+
+def _run(raw: bytes, start: int) -> bytes:
+    while start < len(raw) and raw[start] & 0xC0 == 0x80:
+        start += 1
+    piece = raw[start : start + SEGMENT_BYTES]
+    if start + SEGMENT_BYTES < len(raw):
+        piece = piece.decode(errors="ignore").encode()
+    return b" ".join(piece.split()[:SEGMENT_WORDS])
+
+
 @F.arrow_udf(T.ArrayType(T.BinaryType()))
 def _segments(key: pa.Array, text: pa.Array) -> pa.Array:
-    """Up to SEGMENTS runs of words from places of the whole text that the key's hash chooses."""
-    out = []
-    for k, t in zip(key.to_pylist(), text.to_pylist(), strict=True):
-        words = (t or "").encode().split()
-        last = max(1, len(words) - SEGMENT_WORDS + 1)
-        starts = {zlib.crc32(f"{k}/{i}".encode()) % last for i in range(SEGMENTS)}
-        out.append([b" ".join(words[s : s + SEGMENT_WORDS])[: 64 * SEGMENT_WORDS] for s in sorted(starts)])
-    return pa.array(out, pa.list_(pa.binary()))
+    pairs = zip(key.to_pylist(), text.to_pylist(), strict=True)
+    return pa.array([segments(k, t or "") for k, t in pairs], pa.list_(pa.binary()))
+
+
+def shares(sizes: dict[str, int]) -> list[tuple[str, int]]:
+    """(language, bound): a row takes part if its draw lies below the bound, never 0 and whole for small languages."""
+    rows = max(1, min(PER_LANGUAGE, ROWS // max(1, len(sizes))))
+    return [(lang, max(1, min(1 << DRAW_BITS, (rows << DRAW_BITS) // n))) for lang, n in sizes.items()]
 
 
 def fit(docs: DataFrame) -> Model:
@@ -176,16 +217,26 @@ def fit(docs: DataFrame) -> Model:
     sizes = usable.groupBy("lang").count().collect()  # one row per language, as in the model
     if not sizes:
         return train([])
-    # one hash in [0, 2^20) per row; a language takes the rows below its share
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 20))
-    rows = max(LEAST, min(PER_LANGUAGE, ROWS // len(sizes)))
-    below = [(r["lang"], int(min(1.0, rows / r["count"]) * (1 << 20))) for r in sizes]
-    shares = docs.sparkSession.createDataFrame(below, "_lang string, _below int")
-    chosen = usable.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).filter((draw < F.col("_below")) & has_letter())
-    sample = chosen.select(
-        "doc_id", "lang", F.explode(_segments(F.col("doc_id"), F.col("text"))).alias("segment")
-    )
-    rows = sorted({(r["lang"], r["doc_id"], bytes(r["segment"])) for r in sample.collect() if r["segment"]})
+    # one draw per row; a language takes the rows below its share
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language sample")), 64 - DRAW_BITS)
+    below = shares({r["lang"]: r["count"] for r in sizes})
+    bounds = docs.sparkSession.createDataFrame(below, "_lang string, _below long")
+    lettered = usable.filter(has_letter())
+    chosen = lettered.join(F.broadcast(bounds), F.col("lang") == F.col("_lang")).filter(draw < F.col("_below"))
+
+    def sampled(rows: DataFrame) -> set[tuple[str, int, bytes]]:
+        cut = rows.select("doc_id", "lang", F.explode(_segments(F.col("doc_id"), F.col("text"))).alias("segment"))
+        return {(r["lang"], r["doc_id"], bytes(r["segment"])) for r in cut.collect()}
+
+    found = sampled(chosen)
+    missing = sorted({lang for lang, _ in below} - {lang for lang, _, _ in found})
+    if missing:  # a share that met no row, or a language without a letter
+        names = docs.sparkSession.createDataFrame([(x,) for x in missing], "_lang string")
+        left = lettered.join(F.broadcast(names), F.col("lang") == F.col("_lang"))
+        first = left.groupBy("lang").agg(F.min_by("doc_id", draw).alias("_first"))
+        ids = first.select(F.col("lang").alias("_l"), "_first")
+        found |= sampled(left.join(ids, (F.col("lang") == F.col("_l")) & (F.col("doc_id") == F.col("_first"))))
+    rows = sorted(found)
     return train([(lang, segment, zlib.crc32(f"calibrate {key}".encode()) % 5 == 0) for lang, key, segment in rows])
 
 

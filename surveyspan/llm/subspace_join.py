@@ -148,11 +148,11 @@ def _joins(reps: DataFrame, threshold: float) -> dict[int, PigeonholeJoin]:
     totals = {r["width"]: r["count"] for r in reps.groupBy("width").count().filter("count > 1").collect()}
     if not totals:
         return {}
-    draw = F.pmod(F.xxhash64("rid", F.lit("rotation")), F.lit(1 << 20))
+    draw = F.shiftrightunsigned(F.xxhash64("rid", F.lit("rotation")), 2)
     # the sample is shared out to the lengths; it decides on the speed only
-    each = SAMPLE / len(totals)
-    below = [(w, int(min(1.0, each / n) * (1 << 20))) for w, n in totals.items()]
-    shares = reps.sparkSession.createDataFrame(below, "_width int, _below int")
+    each = max(1, SAMPLE // len(totals))
+    below = [(w, max(1, min(1 << 62, (each << 62) // n))) for w, n in totals.items()]
+    shares = reps.sparkSession.createDataFrame(below, "_width int, _below long")
     sampled = reps.join(F.broadcast(shares), F.col("width") == F.col("_width")).filter(draw < F.col("_below"))
     sample = sampled.select("width", "embedding").toArrow()
     widths = sample["width"].to_numpy()
