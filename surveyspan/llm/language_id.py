@@ -159,8 +159,8 @@ def train(rows: list[tuple[str, bytes, bool]]) -> Model:
     best, score = model.predict([raws[i] for i in check])
     right = np.sort(score[best == target[check]])
     threshold = float(right[int(LOST * len(right))]) if len(right) else 0.0
-    # never so strict that a two-to-one preference counts as unsure
-    return replace(model, threshold=min(threshold, 2 / 3))
+    # never so strict that a language likelier than all others together counts as unsure
+    return replace(model, threshold=min(threshold, 0.5))
 
 
 def _remainder() -> Column:
