@@ -183,7 +183,7 @@ def test_query_agrees_with_sql(spark, sf_dir, name):
 def test_registry():
     names = entry_module.queries()
     assert {*queries.QUERIES, "pipeline"} <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark, documents, sf_dir):
