@@ -6,8 +6,9 @@
 3. The salt winners, at most ``salts`` rows per text, are merged globally.
 
 The grouping key of both merges holds the whole content beside the digest: texts that
-only share a digest are never merged. A document finds its group by the digest and a
-second hash, on narrow rows; a group of any size is the large side of a join that AQE may split.
+only share a digest are never merged. A document finds its group on narrow rows by the SHA-256 and an independent second
+hash of its content, whatever digest the merges use: a weak digest costs time, never a wrong group.
+A group of any size is the large side of a join that AQE may split.
 
 Defined cases: a NULL text is the empty text; a NULL id is the smallest (and is kept only in a group
 without ids); of rows that repeat both id and text exactly one is kept;
@@ -50,18 +51,14 @@ def mark_duplicates(docs: DataFrame, salts: int = SALTS, digest: Callable[[Colum
     """Per document: ``doc_id, keep_id, group_size, kept, text_sha256``."""
     content = text_of()
     winners = duplicate_groups(docs, salts, digest).select(
-        F.col("digest").alias("_digest"), F.xxhash64("content").alias("_check"), "keep_id", "group_size"
+        sha256(F.col("content")).alias("_sha"), F.xxhash64("content").alias("_check"), "keep_id", "group_size"
     )
     members = (
-        docs.select(
-            "doc_id", digest(content).alias("digest"), F.xxhash64(content).alias("check"), sha256(content).alias("sha")
-        )
-        .groupBy("doc_id", "digest", "check", "sha")
+        docs.select("doc_id", sha256(content).alias("sha"), F.xxhash64(content).alias("check"))
+        .groupBy("doc_id", "sha", "check")
         .agg(F.count("*").cast("int").alias("copies"))
     )
-    found = members.join(
-        winners, (F.col("digest") == F.col("_digest")) & (F.col("check") == F.col("_check"))
-    )
+    found = members.join(winners, (F.col("sha") == F.col("_sha")) & (F.col("check") == F.col("_check")))
     # repeated rows of one id and text come back one by one; the first of them counts as the one that stays
     return found.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select(
         "doc_id",
