@@ -2,7 +2,8 @@
 
 ``write_ids`` sorts the documents by id (one range shuffle of the texts), and each task encodes its texts, adds the end id
 and codes about ``FRAME`` ids at a time with :mod:`range_coder`. A file row is one frame: the coded blocks, the ids
-and lengths of the documents in it, and its place in the order. The rows go through Spark's Parquet writer, so a lost or repeated task leaves
+and lengths of the documents in it, and its place in the order. Blocks hold 16-bit numbers: a frame with an id of 65,536 or more is
+coded as two, the lower halves of its ids and the upper ones. The rows go through Spark's Parquet writer, so a lost or repeated task leaves
 no broken file. ``read_ids`` decodes such files in whatever split they are read and needs nothing else.
 
 Memory per task is a few frames; a document is never divided between frames, so a frame grows with the longest text.
@@ -46,6 +47,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end: int
             T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)),
             T.StructField("lengths", T.ArrayType(T.LongType())),
             T.StructField("frame", T.BinaryType()),
+            T.StructField("upper", T.BinaryType()),
         ]
     )
     names = [f.name for f in schema.fields]
@@ -55,10 +57,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end: int
 
         def frame() -> pa.RecordBatch:
             whole = np.concatenate(held)
-            if whole.itemsize > 2:
-                raise ValueError("this format holds ids below 65536")
-            row = [part, before, size, keys, [len(h) for h in held], pack_blocks(whole)]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.binary()]
+            upper = pack_blocks(whole >> 16) if whole.itemsize > 2 and whole.max() >> 16 else None
+            lower = pack_blocks(whole & 0xFFFF if whole.itemsize > 2 else whole)
+            row = [part, before, size, keys, [len(h) for h in held], lower, upper]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
         kind = pa.int64()
@@ -95,6 +97,9 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 (ids,) = unpack_blocks([row["frame"]])
+                if row["upper"] is not None:
+                    (upper,) = unpack_blocks([row["upper"]])
+                    ids = ids.astype(np.uint32) | upper.astype(np.uint32) << np.uint32(16)
                 lengths = np.array(row["lengths"], np.int64)
                 ends = np.cumsum(lengths)
                 cuts = [ids[a:b].astype("<u4").tobytes() for a, b in zip(ends - lengths, ends, strict=True)]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -84,6 +86,29 @@ def test_files_hold_whole_documents(documents, edge, empty, spark, tmp_path, mon
     assert token_files.round_trip(empty).count() == 0
 
 
+def test_files_of_ids_beyond_two_bytes(spark, edge, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "FRAME", 60)
+    with open(token_ids.default_tokenizer(), encoding="utf-8") as f:
+        known = json.load(f)
+    for token, far in (("\u0120the", 70001), ("\u0120a", 4_000_000_000), ("x", 1 << 16)):
+        known["model"]["vocab"][token] = far
+    vocabulary = tmp_path / "wide.json"
+    vocabulary.write_text(json.dumps(known), encoding="utf-8")
+    tokenizer = tokenizers.Tokenizer.from_file(str(vocabulary))
+    tokenizer.encode_special_tokens = True
+    texts = ["in the town a man saw the x", "no far id here. " * 40, "", None, "x the a " * 30, "end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    path = str(tmp_path / "ids")
+    token_files.write_ids(docs, path, str(vocabulary))
+    got = sorted(token_files.read_ids(spark, path, with_ids=True).collect(), key=lambda r: r["start"])
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in got] == want
+    assert [r["ids_crc32"] for r in got] == [zlib.crc32(np.array(w, "<u4").tobytes()) for w in want]
+    assert max(map(max, want)) == 4_000_000_000
+    frames = spark.read.parquet(path)
+    assert frames.filter("upper IS NULL").count() and frames.filter("upper IS NOT NULL").count()
+
+
 def check_packing(docs, pieces):
     """Every id in one piece, sequences gapless; returns the padding."""
     rows = docs.select("doc_id", "text").collect()
