@@ -8,12 +8,33 @@ changed anything. Every round is written to the shared folder, so lost executors
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyspan.llm.tools import written
 
 
+class Labels:
+    """Inside a task: smallest reachable position for positions 0..n-1, under links that come in pieces."""
+
+    def __init__(self, n: int) -> None:
+        self.to = np.arange(n)
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            a, b = self.to[i], self.to[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            low = np.minimum(a, b)
+            np.minimum.at(self.to, a, low)
+            np.minimum.at(self.to, b, low)
+            while not np.array_equal(up := self.to[self.to], self.to):
+                self.to = up
+
+
 def _minima(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m"))
 

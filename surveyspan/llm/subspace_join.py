@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyspan.llm.components import components
+from surveyspan.llm.components import Labels, components
 from surveyspan.llm.tools import written
 
 BLOCKS = 4
@@ -64,26 +64,6 @@ def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-class _Labels:
-    """Smallest reachable position for positions 0..n-1, under links that come in pieces."""
-
-    def __init__(self, n: int) -> None:
-        self.to = np.arange(n)
-
-    def link(self, i: np.ndarray, j: np.ndarray) -> None:
-        while True:
-            a, b = self.to[i], self.to[j]
-            apart = a != b
-            if not apart.any():
-                return
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            low = np.minimum(a, b)
-            np.minimum.at(self.to, a, low)
-            np.minimum.at(self.to, b, low)
-            while not np.array_equal(up := self.to[self.to], self.to):
-                self.to = up
-
-
 class PigeonholeJoin:
     """The fixed numbers of one join: rotation, block bounds and radii."""
 
@@ -220,7 +200,7 @@ def _links(reps: DataFrame, threshold: float, chunk: int) -> DataFrame:
         vectors = _matrix(table["embedding"], width)
         copies, rid = table["copies"].to_numpy(), table["rid"].to_numpy()
         cut = len(rid) if (c1, k1) == (c2, k2) else int((~right).sum())
-        sums, labels = np.zeros(len(rid), np.int64), _Labels(len(rid))
+        sums, labels = np.zeros(len(rid), np.int64), Labels(len(rid))
         other = None if cut == len(rid) and (c1, k1) == (c2, k2) else vectors[cut:]
         shift = 0 if other is None else cut
         if other is None or (cut and len(other)):

@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from surveyspan.llm import (
     pivot_simhash,
     structural_secrets,
 )
+from surveyspan.llm.components import components
 from tests.llm import brute
 
 
@@ -131,6 +133,44 @@ def test_simhash_pairs_at_every_distance(spark):
         pivot_simhash.close_pairs(df, 4)
 
 
+def test_a_dense_family_gives_a_forest(spark):
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(0, 1 << 62))
+    values = {base}
+    while len(values) < 5000:
+        values.add(base ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 4), replace=False)))
+    far = [base ^ 0xFFFF << 4, base ^ 0xFFFF << 40]
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in [*values, *far]], "fp long")
+    for chunk in (300, 4096):
+        links, fared = pivot_simhash.close_links(df, chunk=chunk)
+        rows = links.collect()
+        # one row per fingerprint and tile at most, where pairs would be hundreds of thousands
+        assert len(rows) < 20 * len(values) * (10 if chunk == 300 else 1)
+        roots = components(links, "a", "b").collect()
+        assert len({r["root"] for r in roots}) == 1 and len(roots) == len(values) - 1
+        seen = fared.first()
+        assert 0 < seen["verified"] <= seen["formed"] - seen["discarded"] and 0 < seen["discarded"]
+        assert seen["formed"] < seen["pairs"]
+
+
+@pytest.mark.parametrize("chunk", [2, 7, 4096])
+def test_large_buckets_lose_no_pair(spark, chunk):
+    rng = np.random.default_rng(chunk)
+    low = rng.integers(0, 1 << 14, 150).tolist()  # the upper 50 bits agree: all meet in large buckets
+    values = sorted({(0xABCDEF << 40) | v for v in low})
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    want = {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 3}
+    got = {tuple(sorted((r["a"] % 2**64, r["b"] % 2**64))) for r in pivot_simhash.close_pairs(df, chunk=chunk).collect()}
+    assert got == want
+    links, _ = pivot_simhash.close_links(df, chunk=chunk)
+    to = brute.simhash_groups(values)
+    roots = {r["node"] % 2**64: r["root"] % 2**64 for r in components(links, "a", "b").collect()}
+    groups = {}
+    for v, r in zip(values, to, strict=True):
+        groups.setdefault(r, set()).add(roots.get(v, v))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
 def test_language(documents, edge, empty):
     got = {r["doc_id"]: r for r in language_id.identify(documents).collect()}
     lang = {r["doc_id"]: r["lang"] for r in documents.collect()}
