@@ -19,10 +19,10 @@ import numpy as np
 import pyarrow as pa
 
 #: Pieces whose ids a worker remembers, and the longest piece (in bytes) it remembers.
-CACHE = 600_000
+CACHE = 400_000
 LONGEST = 40
 #: Characters that are worked on in one go.
-SECTION = 1 << 22
+SECTION = 1 << 20
 # A blank belongs to the word after it; of other white space before a word the last character stands alone.
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s")
 _CUT = re.compile(r"\S(?= \S)")
@@ -129,7 +129,7 @@ class Encoder:
         return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; the texts together should be some megabytes at most."""
+        """Ids of each text; the texts together should be a few megabytes at most."""
         if not self.cuttable:
             return [self._ids(t) for t in texts]
         raw = [t.encode() for t in texts]
