@@ -6,12 +6,14 @@ Every block starts from nothing and carries its own checksum. At each id three p
 * order 1: the id that last followed the same id,
 * order 0: the distribution of the block's ids so far, taken over at steps 64, 128, 256 and so on;
 
-what none of them foresees is escaped and coded evenly. The predictions share the unit interval by weights that follow
-their recent success in the block; an id is coded in the highest order that predicts it. The coder is a carry-free range
-coder with 16-bit output units and frequencies that sum to 2^16.
+what none of them foresees is escaped and coded evenly, in 16 bits. The predictions share the unit interval by weights that follow
+their recent success in the block; an id is coded in the highest order that predicts it. The coder has a 48-bit interval, 16-bit
+output units and frequencies that sum to 2^16; a block's payload is its units in order and, from its end backwards, its escaped ids.
 
 All blocks of a batch are one numpy vector, so a step of the coder is a handful of vector operations and the time per id falls
-with the number of blocks.
+with the number of blocks. An interval of at least 2^32 leaves every frequency 2^16 at least, so an id makes one unit at most. The encoder leaves
+carries in the units until the end; the decoder needs only how far the code lies above the interval's low end, and
+as every number stays below 2^53 it reckons in doubles without rounding.
 """
 
 from __future__ import annotations
@@ -23,52 +25,78 @@ from collections.abc import Iterator
 import numpy as np
 
 BLOCK = 4096
-MAGIC = b"CMR1"
+#: Longest block that positions and shares of the interval have room for.
+LONGEST = 1 << 15
+MAGIC = b"CMR2"
 _SEGMENT = 64
+# Blocks that are sorted together, for the processor's caches.
+_SORTED = 32
 _TOTAL = 1 << 16
 _LEAST = 16
 _SLOTS = 1 << 12
 _U = np.uint64
-_TOP, _BOTTOM = _U(1 << 48), _U((1 << 32) - 1)
-_S16, _S48 = _U(16), _U(48)
+_S16, _S32, _LOW32 = _U(16), _U(32), _U((1 << 32) - 1)
+_WHOLE, _NARROW, _UNIT = 1 << 48, 1 << 32, 1 << 16
 
 
 def _slot1(a: np.ndarray) -> np.ndarray:
-    return ((a * np.uint32(40503)) >> np.uint32(4)) & np.uint32(_SLOTS - 1)
+    return (a * np.uint16(40503)) >> np.uint16(4)
 
 
 def _slot2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a * np.uint32(2654435761) + b * np.uint32(2246822519)) >> np.uint32(16)) & np.uint32(_SLOTS - 1)
-
-
-def _predicted(ids: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """For each position of each row the id at the last earlier position with the same slot, else 0."""
-    order = np.argsort(slots.astype(np.uint16), axis=1, kind="stable")
-    slot = np.take_along_axis(slots, order, 1)
-    value = np.take_along_axis(ids, order, 1)
-    before = np.zeros_like(value)
-    before[:, 1:] = np.where(slot[:, 1:] == slot[:, :-1], value[:, :-1], 0)
-    out = np.empty_like(ids)
-    np.put_along_axis(out, order, before, 1)
-    return out
+    return (a * np.uint16(31153) + b * np.uint16(58967)) >> np.uint16(4)
 
 
-def _snapshot_ranks(history: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many ids of each row's history are smaller than, and not larger than, each later id."""
-    n = history.shape[1]
-    both = np.concatenate([history, later], axis=1)
-    order = np.argsort(both, axis=1, kind="stable")
-    value = np.take_along_axis(both, order, 1)
-    upto = np.cumsum(order < n, axis=1, dtype=np.int32)
-    start = np.ones_like(value, dtype=bool)
-    start[:, 1:] = value[:, 1:] != value[:, :-1]
-    # equal ids of the history come first, so the count at a later id covers all of them
-    at = np.maximum.accumulate(np.where(start, np.arange(value.shape[1], dtype=np.int32), 0), axis=1)
-    below = np.take_along_axis(upto, at, 1) - (np.take_along_axis(order, at, 1) < n)
-    lo, hi = np.empty_like(upto), np.empty_like(upto)
-    np.put_along_axis(lo, order, below, 1)
-    np.put_along_axis(hi, order, upto, 1)
-    return lo[:, n:], hi[:, n:]
+def _foreseen(ids: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Step by block: whether an id is the one at the last earlier position with the same slot, or 0 if there is none."""
+    blocks, steps = ids.shape
+    key = slots.astype(_U) << _S32
+    key |= np.arange(steps, dtype=_U) << _S16
+    key |= ids
+    key.sort(axis=1)
+    value = key.astype(np.uint16)
+    key >>= _S16
+    at = (key & _U(0xFFFF)).view(np.int64)
+    hit = value == 0
+    slot = (key >> _S16).astype(np.uint16)
+    same = slot[:, 1:] == slot[:, :-1]
+    hit[:, 1:] &= ~same
+    hit[:, 1:] |= same & (value[:, 1:] == value[:, :-1])
+    at *= blocks
+    at += np.arange(blocks)[:, None]
+    out = np.empty(steps * blocks, bool)
+    out[at] = hit
+    return out.reshape(steps, blocks)
+
+
+def _history_ranks(ids: np.ndarray) -> np.ndarray:
+    """Step by block: how many ids of the history then in use are smaller than the id, and (<< 16) not larger."""
+    blocks, steps = ids.shape
+    out = np.zeros(steps * blocks, np.int32)
+    key = ids.astype(np.uint32) << np.uint32(16)
+    key |= np.arange(steps, dtype=np.uint32)
+    key.sort(axis=1)
+    cuts = _history_steps(steps)
+    for a, b in zip(cuts[::-1], [steps, *cuts[:0:-1]], strict=False):
+        place = key.astype(np.uint16)
+        if key.shape[1] > b:
+            key = key[place < b].reshape(blocks, b)
+            place = key.astype(np.uint16)
+        value = (key >> np.uint32(16)).astype(np.uint16)
+        old = place < a
+        # equal ids of the history come first, so the count at a later id covers all of them
+        upto = np.cumsum(old, axis=1, dtype=np.int32)
+        below = upto - old
+        below[:, 1:] *= value[:, 1:] != value[:, :-1]
+        np.maximum.accumulate(below, axis=1, out=below)
+        upto <<= 16
+        upto |= below
+        later = np.flatnonzero(~old)
+        at = place.take(later).astype(np.intp)
+        at *= blocks
+        at += np.repeat(np.arange(blocks), b - a)
+        out[at] = upto.take(later)
+    return out.reshape(steps, blocks)
 
 
 class _Weights:
@@ -86,76 +114,12 @@ class _Weights:
         freq[3] = _TOTAL - freq[:3].sum(0)
         return np.concatenate([np.zeros((1, freq.shape[1]), np.int64), np.cumsum(freq, axis=0)])
 
-    def add(self, counts: np.ndarray) -> None:
-        self.hits += counts
+    def add(self, seen: list[np.ndarray]) -> None:
+        """Takes over a segment, given as where each outcome occurred, step by block."""
+        self.hits += np.stack([s.view(np.uint8).sum(0, dtype=np.uint8) for s in seen])
         self.hits -= self.hits >> 2
 
 
-def _unsettled(coder: _Out | _In, rows: np.ndarray | slice) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks among ``rows`` whose next unit is fixed, with their low end and width, again and again until none is."""
-    low, width = coder.low[rows], coder.range[rows]
-    settled = (low ^ (low + width)) < _TOP
-    need = np.flatnonzero(settled | (width <= _BOTTOM))
-    index = need if isinstance(rows, slice) else rows[need]
-    while len(index):
-        low, width, settled = low[need], width[need], settled[need]
-        # a narrow interval across a unit's edge is cut back to the edge
-        yield index, low, np.where(settled, width, (~low + _U(1)) & _BOTTOM)
-        low, width = coder.low[index], coder.range[index]
-        settled = (low ^ (low + width)) < _TOP
-        need = np.flatnonzero(settled | (width <= _BOTTOM))
-        index = index[need]
-
-
-class _Out:
-    def __init__(self, blocks: int, steps: int) -> None:
-        self.low, self.range = np.zeros(blocks, _U), np.full(blocks, ~_U(0), _U)
-        self.units, self.count = np.zeros((blocks, 3 * steps + 8), np.uint16), np.zeros(blocks, np.int64)
-
-    def put(self, rows: np.ndarray | slice, start: np.ndarray, freq: np.ndarray) -> None:
-        step = self.range[rows] >> _S16
-        self.low[rows] += step * start
-        self.range[rows] = step * freq
-        for index, low, width in _unsettled(self, rows):
-            self.units[index, self.count[index]] = low >> _S48
-            self.count[index] += 1
-            self.low[index], self.range[index] = low << _S16, width << _S16
-
-    def finish(self) -> list[bytes]:
-        rows = np.arange(len(self.low))
-        for shift in (48, 32, 16, 0):
-            self.units[rows, self.count] = (self.low >> _U(shift)) & _U(0xFFFF)
-            self.count += 1
-        return [u[:n].astype("<u2").tobytes() for u, n in zip(self.units, self.count, strict=True)]
-
-
-class _In:
-    def __init__(self, payloads: list[bytes]) -> None:
-        blocks = len(payloads)
-        sizes = np.array([len(p) // 2 for p in payloads], np.int64)
-        self.units = np.zeros(int(sizes.sum()) + 8, np.uint16)
-        self.units[: int(sizes.sum())] = np.frombuffer(b"".join(payloads), "<u2")
-        self.at = np.cumsum(sizes) - sizes
-        self.low, self.range, self.code = np.zeros(blocks, _U), np.full(blocks, ~_U(0), _U), np.zeros(blocks, _U)
-        for _ in range(4):
-            self.code = (self.code << _S16) | self.units[self.at].astype(_U)
-            self.at += 1
-
-    def target(self, rows: np.ndarray | slice) -> np.ndarray:
-        """Where in the total the coded value of each row lies."""
-        self.step = self.range[rows] >> _S16
-        return np.minimum((self.code[rows] - self.low[rows]) // self.step, _U(_TOTAL - 1)).astype(np.int64)
-
-    def take(self, rows: np.ndarray | slice, start: np.ndarray, freq: np.ndarray) -> None:
-        self.low[rows] += self.step * start
-        self.range[rows] = self.step * freq
-        for index, low, width in _unsettled(self, rows):
-            at = np.minimum(self.at[index], len(self.units) - 1)  # a damaged block may ask for more
-            self.code[index] = (self.code[index] << _S16) | self.units[at].astype(_U)
-            self.at[index] = at + 1
-            self.low[index], self.range[index] = low << _S16, width << _S16
-
-
 def _history_steps(n: int) -> list[int]:
     """Steps at which order 0 takes over what has been coded so far."""
     out, step = [], _SEGMENT
@@ -165,125 +129,183 @@ def _history_steps(n: int) -> list[int]:
     return out
 
 
+def _spans(lengths: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """First step, end and number of blocks of each stretch within a segment in which no block ends; the longest come first."""
+    steps = int(lengths[0])
+    a = 0
+    for b in np.unique(np.append(lengths, np.arange(_SEGMENT, steps, _SEGMENT))).tolist():
+        if b:
+            yield a, b, int(np.count_nonzero(lengths > a))
+            a = b
+
+
 def _plan(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Interval start and width of every id and whether it is escaped, step by block."""
     blocks, steps = ids.shape
-    wide = ids.astype(np.uint32)
-    one = np.zeros_like(wide)
-    one[:, 1:] = wide[:, :-1]
-    two = np.zeros_like(wide)
-    two[:, 2:] = wide[:, :-2]
-    guess1, guess2 = _predicted(ids, _slot1(one)), _predicted(ids, _slot2(one, two))
-    lo, hi = np.zeros((blocks, steps), np.int32), np.zeros((blocks, steps), np.int32)
+    by2, by1, ranks = np.empty((steps, blocks), bool), np.empty((steps, blocks), bool), np.empty((steps, blocks), np.int32)
+    for g in range(0, blocks, _SORTED):
+        own = ids[g : g + _SORTED]
+        one, two = np.zeros_like(own), np.zeros_like(own)
+        one[:, 1:], two[:, 2:] = own[:, :-1], own[:, :-2]
+        by2[:, g : g + _SORTED], by1[:, g : g + _SORTED] = _foreseen(own, _slot2(one, two)), _foreseen(own, _slot1(one))
+        ranks[:, g : g + _SORTED] = _history_ranks(own)
     cuts = _history_steps(steps)
-    for a, b in zip(cuts, [*cuts[1:], steps], strict=False):
-        lo[:, a:b], hi[:, a:b] = _snapshot_ranks(ids[:, :a], ids[:, a:b])
-    start, freq = np.empty((steps, blocks), np.uint16), np.empty((steps, blocks), np.uint32)
-    escaped = np.zeros((steps, blocks), bool)
+    start, freq = np.empty((steps, blocks), np.uint16), np.empty((steps, blocks), np.uint16)
+    escaped = np.empty((steps, blocks), bool)
     weights, taken = _Weights(blocks), 0
     for a in range(0, steps, _SEGMENT):
         b = min(steps, a + _SEGMENT)
         if a in cuts:
             taken = a
-        bound = weights.frequencies(taken > 0).astype(np.int32)[:, None, :]
+        bound = weights.frequencies(taken > 0).astype(np.int32)
+        part = np.diff(bound, axis=0)
         shift = max(0, taken.bit_length() - 1)  # the history's length is a power of two
-        x = ids[:, a:b].T
-        is2 = x == guess2[:, a:b].T
-        is1 = (x == guess1[:, a:b].T) & ~is2
-        part0 = bound[3] - bound[2]
-        low0 = (part0 * lo[:, a:b].T) >> shift
-        wide0 = ((part0 * hi[:, a:b].T) >> shift) - low0
-        is0 = (wide0 > 0) & ~is2 & ~is1
+        is2 = by2[a:b]
+        is1 = by1[a:b] & ~is2
+        low0 = (part[2] * (ranks[a:b] & 0xFFFF)) >> shift
+        wide0 = ((part[2] * (ranks[a:b] >> 16)) >> shift) - low0
+        is0 = (wide0 > 0) & ~(is2 | is1)
         esc = ~(is2 | is1 | is0)
-        s = np.where(is2, bound[0], np.where(is1, bound[1], np.where(is0, bound[2] + low0, bound[3])))
-        f = np.where(is2, bound[1] - bound[0], np.where(is1, bound[2] - bound[1], np.where(is0, wide0, bound[4] - bound[3])))
-        start[a:b], freq[a:b], escaped[a:b] = s, f, esc
-        live = np.arange(a, b)[:, None] < lengths[None, :]
-        weights.add(np.stack([(m & live).sum(0) for m in (is2, is1, is0, esc)]))
+        low0 += bound[2]
+        start[a:b] = np.where(is0, low0, np.where(is2, bound[0], np.where(is1, bound[1], bound[3])))
+        freq[a:b] = np.where(is0, wide0, np.where(is2, part[0], np.where(is1, part[1], part[3])))
+        seen = [is2, is1, is0, esc]
+        if lengths[-1] < b:
+            live = np.arange(a, b)[:, None] < lengths
+            seen = [m & live for m in seen]
+        escaped[a:b] = seen[3]
+        weights.add(seen)
     return start, freq, escaped
 
 
-def _encode(ids: np.ndarray, lengths: np.ndarray, group: int = 64) -> list[bytes]:
+def _encode(ids: np.ndarray, lengths: np.ndarray, group: int = 256) -> list[bytes]:
     """Payload of each row of ``ids`` (uint16, padded); rows come longest first."""
     blocks, steps = ids.shape
-    start, freq = np.empty((steps, blocks), np.uint16), np.empty((steps, blocks), np.uint32)
+    start, freq = np.empty((steps, blocks), np.uint16), np.empty((steps, blocks), np.uint16)
     escaped = np.empty((steps, blocks), bool)
     for g in range(0, blocks, group):
         start[:, g : g + group], freq[:, g : g + group], escaped[:, g : g + group] = _plan(ids[g : g + group], lengths[g : g + group])
-    out, turned = _Out(blocks, steps), np.ascontiguousarray(ids.T)
-    live = np.searchsorted(-lengths, -np.arange(steps), side="left")
-    for t in range(steps):
-        n = int(live[t])
-        out.put(slice(0, n), start[t, :n].astype(_U), freq[t, :n].astype(_U))
-        raw = np.flatnonzero(escaped[t, :n])
-        if len(raw):
-            out.put(raw, turned[t, raw].astype(_U), _U(1))
-    return out.finish()
+    low, width = np.zeros(blocks, _U), np.full(blocks, _WHOLE, _U)
+    # a unit may hold a carry in its bit 16
+    units, at = np.zeros((steps + 3) * blocks, np.uint32), np.arange(blocks)
+    for a, b, n in _spans(lengths):
+        own_low, own_width = low[:n], width[:n]
+        for t in range(a, b):
+            step = own_width >> _S16
+            own_low += step * start[t, :n]
+            np.multiply(step, freq[t, :n], out=own_width)
+            need = (own_width < _NARROW).nonzero()[0]
+            old, place = own_low[need], at[need]
+            units[place] = old >> _S32
+            at[need] = place + blocks
+            own_low[need] = (old & _LOW32) << _S16
+            own_width[need] = own_width[need] << _S16
+    for shift in (32, 16, 0):
+        units[at] = (low >> _U(shift)) & _U(0xFFFF if shift < 32 else 0x1FFFF)
+        at += blocks
+    count = at // blocks
+    rows = units.reshape(steps + 3, blocks)
+    for k in range(int(count.max()) - 1, 0, -1):
+        rows[k - 1] += rows[k] >> np.uint32(16)
+    coded, raw = np.ascontiguousarray(rows.T.astype("<u2")), np.ascontiguousarray(escaped.T)
+    return [c[:n].tobytes() + x[e][::-1].astype("<u2").tobytes() for c, n, x, e in zip(coded, count.tolist(), ids, raw, strict=True)]
+
+
+def _history(ids: np.ndarray) -> np.ndarray:
+    """Of each place in the sorted ids of each block (step by block): the id, its first place << 16 and the place after its last << 32."""
+    steps, blocks = ids.shape
+    known = np.sort(ids.T.astype(np.uint32, order="C"), axis=1)
+    change = np.ones((blocks, steps), bool)
+    change[:, 1:] = known[:, 1:] != known[:, :-1]
+    begin = np.flatnonzero(change)
+    copies = np.diff(begin, append=blocks * steps)
+    first = begin % steps
+    return np.repeat(known.ravel()[begin] | first << 16 | (first + copies) << 32, copies)
 
 
 def _decode(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
     """Ids (step by block) of payloads whose lengths come longest first."""
     blocks, steps = len(payloads), int(lengths[0]) if len(lengths) else 0
     ids = np.zeros((steps, blocks), np.uint16)
-    source, rows = _In(payloads), np.arange(blocks)
-    table1, table2 = np.zeros(blocks * _SLOTS, np.uint16), np.zeros(blocks * _SLOTS, np.uint16)
-    base = (rows * _SLOTS).astype(np.int64)
-    one = two = np.zeros(blocks, np.uint32)
-    cuts, taken, shift = set(_history_steps(steps)), 0, 0
-    history = first = last = None
-    weights, counts = _Weights(blocks), np.zeros((4, blocks), np.int64)
-    bound = weights.frequencies(False)
-    live = np.searchsorted(-lengths, -np.arange(steps), side="left")
-    for t in range(steps):
-        n = int(live[t])
-        if t and t % _SEGMENT == 0:
-            weights.add(counts)
-            counts[:] = 0
-            if t in cuts:
-                taken, shift = t, t.bit_length() - 1
-                history = np.sort(ids[:t].T, axis=1)
-                change = np.ones(history.shape, bool)
-                change[:, 1:] = history[:, 1:] != history[:, :-1]
-                place = np.arange(t, dtype=np.int32)
-                first = np.maximum.accumulate(np.where(change, place, 0), axis=1).astype(np.uint16)
-                ends = np.ones(history.shape, bool)
-                ends[:, :-1] = change[:, 1:]
-                last = np.minimum.accumulate(np.where(ends, place + 1, t)[:, ::-1], axis=1)[:, ::-1].astype(np.uint16)
-            bound = weights.frequencies(taken > 0)
-        some, b = slice(0, n), bound[:, :n]
-        at1 = base[:n] + _slot1(one[:n])
-        at2 = base[:n] + _slot2(one[:n], two[:n])
-        value = source.target(some)
-        outcome = (value >= b[1]).astype(np.int64) + (value >= b[2]) + (value >= b[3])
-        start, end = b[outcome, rows[:n]], b[outcome + 1, rows[:n]]
-        found = np.where(outcome == 0, table2[at2], table1[at1])
-        if taken:
-            zero = np.flatnonzero(outcome == 2)
-            if len(zero):
-                part = end[zero] - start[zero]
-                k = ((value[zero] - start[zero] + 1) * taken - 1) // part
-                found[zero] = history[zero, k]
-                low = start[zero] + ((part * first[zero, k]) >> shift)
-                end[zero] = start[zero] + ((part * last[zero, k]) >> shift)
-                start[zero] = low
-        source.take(some, start.astype(_U), (end - start).astype(_U))
-        raw = np.flatnonzero(outcome == 3)
-        if len(raw):
-            own = source.target(raw)
-            found[raw] = own
-            source.take(raw, own.astype(_U), _U(1))
-        counts[outcome, rows[:n]] += 1
-        ids[t, :n] = found
-        table1[at1] = found
-        table2[at2] = found
-        two = one
-        one = np.zeros(blocks, np.uint32)
-        one[:n] = found
+    if not steps:
+        return ids
+    # a damaged block may ask for more on either side
+    sizes = np.array([len(p) // 2 for p in payloads], np.int64)
+    total, room = int(sizes.sum()), steps + 3
+    units = np.zeros(total + 2 * room, np.uint16)
+    units[room : room + total] = np.frombuffer(b"".join(payloads), "<u2")
+    back = room + np.cumsum(sizes) - 1
+    at = back + 1 - sizes
+    rest, width = np.zeros(blocks), np.full(blocks, float(_WHOLE))
+    for _ in range(3):
+        rest = rest * _UNIT + units[at]
+        at += 1
+    lanes = np.arange(blocks)
+    # the last follower in each block of each slot, for order 1 and then for order 2
+    size = np.int64(blocks)
+    followers = np.zeros(2 * blocks * _SLOTS, np.uint16)
+    one = two = np.zeros(blocks, np.uint16)
+    cuts, taken, history = set(_history_steps(steps)), 0, None
+    weights, outcome = _Weights(blocks), np.full((_SEGMENT, blocks), 4, np.int8)
+    for a, b, n in _spans(lengths):
+        if a % _SEGMENT == 0:
+            if a:
+                weights.add([outcome == k for k in range(4)])
+                outcome[:] = 4
+            if a in cuts:
+                taken, history = a, _history(ids[:a])
+            bound = weights.frequencies(taken > 0).astype(np.float64)
+            starts, freqs = bound[:4].T.ravel(), np.diff(bound, axis=0).T.ravel()
+        rest, width, one, two, at, back = (x[:n] for x in (rest, width, one, two, at, back))
+        lane1, four = lanes[:n], 4 * lanes[:n]
+        lane2 = lane1 + _SLOTS * blocks
+        bound1, bound2, bound3 = bound[1, :n], bound[2, :n], bound[3, :n]
+        for t in range(a, b):
+            step = np.floor(width * (1 / _UNIT))
+            value = rest / step
+            not2, not1, none = value >= bound1, value >= bound2, value >= bound3
+            kind = not2.view(np.int8) + not1.view(np.int8) + none.view(np.int8)
+            outcome[t % _SEGMENT, :n] = kind
+            part = four + kind
+            start, freq = starts.take(part), freqs.take(part)
+            at1, at2 = _slot1(one) * size, _slot2(one, two) * size
+            at1 += lane1
+            at2 += lane2
+            found = followers.take(np.where(not2, at1, at2))
+            if taken:
+                zero = (not1 != none).nonzero()[0]
+                if len(zero):
+                    own, begin = freq[zero], start[zero]
+                    k = ((np.floor(value[zero]) - begin + 1) * taken - 1) / own
+                    entry = history.take(zero * taken + k.astype(np.intp))
+                    found[zero] = entry.astype(np.uint16)
+                    own *= 1 / taken
+                    low = np.floor(own * ((entry >> 16) & 0xFFFF))
+                    freq[zero] = np.floor(own * (entry >> 32)) - low
+                    start[zero] = begin + low
+            raw = none.nonzero()[0]
+            if len(raw):
+                place = back[raw]
+                found[raw] = units.take(place)
+                back[raw] = place - 1
+            rest -= start * step
+            np.multiply(step, freq, out=width)
+            need = (width < _NARROW).nonzero()[0]
+            place = at[need]
+            rest[need] = rest[need] * _UNIT + units.take(place)
+            at[need] = place + 1
+            width[need] *= _UNIT
+            ids[t, :n] = found
+            followers[at1] = found
+            followers[at2] = found
+            two, one = one, found
     return ids
 
 
 def pack_blocks(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """One frame: ids (all below 2^16) in independent blocks. Header: magic, block count, per block ids, units, checksum."""
+    if block > LONGEST:
+        raise ValueError(f"a block holds {LONGEST} ids at most")
     cuts = [ids[a : a + block].astype("<u2") for a in range(0, len(ids), block)]
     lengths = np.array([len(c) for c in cuts], np.int64)  # only the last one is shorter
     padded = np.zeros((len(cuts), int(lengths.max()) if len(cuts) else 0), np.uint16)

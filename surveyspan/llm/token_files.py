@@ -33,7 +33,7 @@ from surveyspan.staging import ensure_checkpoint_dir
 
 END = 0
 #: Ids of a frame, at least; many blocks in step make the coder fast.
-FRAME = 1024 * BLOCK
+FRAME = 2048 * BLOCK
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END) -> None:
@@ -56,17 +56,18 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end: int
         part, before, keys, held, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def frame() -> pa.RecordBatch:
-            whole = np.concatenate(held)
+            whole, lengths = np.concatenate(held), [len(h) for h in held]
+            held.clear()
             upper = pack_blocks(whole >> 16) if whole.itemsize > 2 and whole.max() >> 16 else None
             lower = pack_blocks(whole & 0xFFFF if whole.itemsize > 2 else whole)
-            row = [part, before, size, keys, [len(h) for h in held], lower, upper]
+            row = [part, before, size, keys, lengths, lower, upper]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
         kind = pa.int64()
         for batch in batches:
             kind = batch["doc_id"].type
-            ids = encoded((t.as_py() for t in batch["text"]), vocabulary)
+            ids = encoded((t.as_py() for t in batch["text"]), vocabulary, together=2)
             for key, found in zip(batch["doc_id"].to_pylist(), ids, strict=True):
                 keys.append(key)
                 held.append(np.append(found, np.array([end], found.dtype)))

@@ -96,12 +96,17 @@ class Encoder:
 
     def _pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Ids of distinct pieces; words led by a blank are encoded in one string and cut apart by byte counts."""
-        led, bare, done = [], [], {}
-        for p in pieces:
-            word = p.startswith(b" ") and p[1:].decode()
-            (led if word and word.split() == [word] else bare).append(p)
+        led, bare, done = [p for p in pieces if p[:1] == b" "], [p for p in pieces if p[:1] != b" "], {}
+        text = b"".join(led).decode()
+        words = text.split()
+        # a blank before each word and no other white space
+        if len(words) != len(led) or sum(map(len, words)) + len(led) != len(text):
+            odd = {p for p in led if p[1:].decode().split() != [p[1:].decode()]}
+            bare += odd
+            led = [p for p in led if p not in odd]
+            text = b"".join(led).decode()
         if led:
-            flat = self._ids(b"".join(led).decode())
+            flat = self._ids(text)
             ends = np.cumsum(self.bytes_of[flat])
             want = np.cumsum([len(p) for p in led])
             cuts = np.searchsorted(ends, want) + 1
@@ -143,17 +148,11 @@ class Encoder:
         pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         numbered = pieces.dictionary_encode()
         found = self._known(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
-        flat = np.frombuffer(b"".join(found), self.kind)
-        length = np.fromiter(map(len, found), np.int32, len(found)) // self.kind.itemsize
-        first = np.cumsum(length) - length
-        code = numbered.indices.to_numpy()
-        own = length[code]
-        upto = np.cumsum(own)
-        at = np.repeat((first[code] - upto + own).astype(np.int32), own)
-        at += np.arange(len(at), dtype=np.int32)
-        ids = flat[at]
-        stops = np.append(0, upto)[np.searchsorted(starts, end)].tolist()
-        return [ids[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+        spelled = pa.array(found, pa.binary()).take(numbered.indices)
+        _, places, values = spelled.buffers()
+        ids = np.frombuffer(values, self.kind)
+        stops = (np.frombuffer(places, np.int32)[np.append(0, np.searchsorted(starts, end))] // self.kind.itemsize).tolist()
+        return [ids[a:b] for a, b in zip(stops, stops[1:], strict=False)]
 
 
 def sections(text: str) -> list[str]:
@@ -168,8 +167,8 @@ def sections(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
-def encoded(texts: Iterable[str], path: str) -> Iterator[np.ndarray]:
-    """Ids of each text in turn, worked on in groups of about ``SECTION`` characters."""
+def encoded(texts: Iterable[str], path: str, together: int = 1) -> Iterator[np.ndarray]:
+    """Ids of each text in turn, worked on in groups of about ``together`` times ``SECTION`` characters."""
     worker, group, size = encoder(path), [], 0
     for text in texts:
         if len(text) > SECTION and worker.cuttable:
@@ -179,7 +178,7 @@ def encoded(texts: Iterable[str], path: str) -> Iterator[np.ndarray]:
             continue
         group.append(text)
         size += len(text)
-        if size > SECTION:
+        if size > together * SECTION:
             yield from worker.encode(group)
             group, size = [], 0
     yield from worker.encode(group)
