@@ -152,7 +152,7 @@ def _plan(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     cuts = _history_steps(steps)
     start, freq = np.empty((steps, blocks), np.uint16), np.empty((steps, blocks), np.uint16)
     escaped = np.empty((steps, blocks), bool)
-    weights, taken = _Weights(blocks), 0
+    weights, taken, four = _Weights(blocks), 0, 4 * np.arange(blocks)
     for a in range(0, steps, _SEGMENT):
         b = min(steps, a + _SEGMENT)
         if a in cuts:
@@ -167,8 +167,9 @@ def _plan(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         is0 = (wide0 > 0) & ~(is2 | is1)
         esc = ~(is2 | is1 | is0)
         low0 += bound[2]
-        start[a:b] = np.where(is0, low0, np.where(is2, bound[0], np.where(is1, bound[1], bound[3])))
-        freq[a:b] = np.where(is0, wide0, np.where(is2, part[0], np.where(is1, part[1], part[3])))
+        kind = four + (is1.view(np.int8) + 2 * is0.view(np.int8) + 3 * esc.view(np.int8))
+        start[a:b] = np.where(is0, low0, bound[:4].T.ravel().take(kind))
+        freq[a:b] = np.where(is0, wide0, part.T.ravel().take(kind))
         seen = [is2, is1, is0, esc]
         if lengths[-1] < b:
             live = np.arange(a, b)[:, None] < lengths
@@ -187,7 +188,9 @@ def _encode(ids: np.ndarray, lengths: np.ndarray, group: int = 256) -> list[byte
         start[:, g : g + group], freq[:, g : g + group], escaped[:, g : g + group] = _plan(ids[g : g + group], lengths[g : g + group])
     low, width = np.zeros(blocks, _U), np.full(blocks, _WHOLE, _U)
     # a unit may hold a carry in its bit 16
-    units, at = np.zeros((steps + 3) * blocks, np.uint32), np.arange(blocks)
+    units = np.zeros(blocks * (steps + 3), np.uint32)
+    first = np.arange(blocks) * (steps + 3)
+    at = first.copy()
     for a, b, n in _spans(lengths):
         own_low, own_width = low[:n], width[:n]
         for t in range(a, b):
@@ -197,18 +200,23 @@ def _encode(ids: np.ndarray, lengths: np.ndarray, group: int = 256) -> list[byte
             need = (own_width < _NARROW).nonzero()[0]
             old, place = own_low[need], at[need]
             units[place] = old >> _S32
-            at[need] = place + blocks
+            at[need] = place + 1
             own_low[need] = (old & _LOW32) << _S16
             own_width[need] = own_width[need] << _S16
     for shift in (32, 16, 0):
         units[at] = (low >> _U(shift)) & _U(0xFFFF if shift < 32 else 0x1FFFF)
-        at += blocks
-    count = at // blocks
-    rows = units.reshape(steps + 3, blocks)
-    for k in range(int(count.max()) - 1, 0, -1):
-        rows[k - 1] += rows[k] >> np.uint32(16)
-    coded, raw = np.ascontiguousarray(rows.T.astype("<u2")), np.ascontiguousarray(escaped.T)
-    return [c[:n].tobytes() + x[e][::-1].astype("<u2").tobytes() for c, n, x, e in zip(coded, count.tolist(), ids, raw, strict=True)]
+        at += 1
+    # the first unit of a block has no carry, so none reaches another block
+    over = np.flatnonzero(units >> np.uint32(16))
+    while len(over):
+        units[over] &= np.uint32(0xFFFF)
+        over -= 1
+        units[over] += np.uint32(1)
+        over = over[units[over] > 0xFFFF]
+    raw = np.ascontiguousarray(escaped.T)
+    coded = units.astype("<u2")
+    cuts = zip(first.tolist(), at.tolist(), ids, raw, strict=True)
+    return [coded[a:b].tobytes() + x[e][::-1].astype("<u2").tobytes() for a, b, x, e in cuts]
 
 
 def _history(ids: np.ndarray) -> np.ndarray:

@@ -67,7 +67,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end: int
         kind = pa.int64()
         for batch in batches:
             kind = batch["doc_id"].type
-            ids = encoded((t.as_py() for t in batch["text"]), vocabulary, together=2)
+            ids = encoded((t.as_py() for t in batch["text"]), vocabulary, roomy=2)
             for key, found in zip(batch["doc_id"].to_pylist(), ids, strict=True):
                 keys.append(key)
                 held.append(np.append(found, np.array([end], found.dtype)))

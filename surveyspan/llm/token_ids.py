@@ -120,7 +120,7 @@ class Encoder:
         done.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(bare, found, strict=True))
         return done
 
-    def _known(self, pieces: list[bytes]) -> list[bytes]:
+    def _known(self, pieces: list[bytes], remember: int) -> list[bytes]:
         """Ids of distinct pieces in turn."""
         found = list(map(self.cache.get, pieces))
         lacking = [i for i, f in enumerate(found) if f is None]
@@ -128,12 +128,12 @@ class Encoder:
             own = self._pieces([pieces[i] for i in lacking])
             for i in lacking:
                 found[i] = own[pieces[i]]
-            room = CACHE - len(self.cache)
+            room = remember - len(self.cache)
             if room > 0:
                 self.cache.update((pieces[i], found[i]) for i in lacking[:room] if len(pieces[i]) <= LONGEST)
         return found
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str], remember: int = 0) -> list[np.ndarray]:
         """Ids of each text; the texts together should be a few megabytes at most."""
         if not self.cuttable:
             return [self._ids(t) for t in texts]
@@ -147,7 +147,7 @@ class Encoder:
         offsets = np.append(starts, len(data)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         numbered = pieces.dictionary_encode()
-        found = self._known(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        found = self._known(numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), remember or CACHE)
         spelled = pa.array(found, pa.binary()).take(numbered.indices)
         _, places, values = spelled.buffers()
         ids = np.frombuffer(values, self.kind)
@@ -167,21 +167,21 @@ def sections(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
-def encoded(texts: Iterable[str], path: str, together: int = 1) -> Iterator[np.ndarray]:
-    """Ids of each text in turn, worked on in groups of about ``together`` times ``SECTION`` characters."""
+def encoded(texts: Iterable[str], path: str, roomy: int = 1) -> Iterator[np.ndarray]:
+    """Ids of each text in turn, worked on in groups of about ``SECTION`` characters; both limits may be ``roomy`` times as large."""
     worker, group, size = encoder(path), [], 0
     for text in texts:
         if len(text) > SECTION and worker.cuttable:
-            yield from worker.encode(group)
+            yield from worker.encode(group, roomy * CACHE)
             group, size = [], 0
-            yield np.concatenate([worker.encode([part])[0] for part in sections(text)])
+            yield np.concatenate([worker.encode([part], roomy * CACHE)[0] for part in sections(text)])
             continue
         group.append(text)
         size += len(text)
-        if size > together * SECTION:
-            yield from worker.encode(group)
+        if size > roomy * SECTION:
+            yield from worker.encode(group, roomy * CACHE)
             group, size = [], 0
-    yield from worker.encode(group)
+    yield from worker.encode(group, roomy * CACHE)
 
 
 @lru_cache(maxsize=2)
